@@ -1,11 +1,569 @@
-"""Registered terrain queries and the SQL that checks them."""
+"""Registered terrain queries over rasters derived from the test tables, and the SQL that checks them.
+
+T16: 16 by 16 cells, x and y the part and order keys modulo 16, elevation the
+summed quantity.  T64 likewise with 64, less cells whose elevation is divisible
+by 11 (no data).  Both have integer elevations, so results compare exactly.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.functions import crs, geo
+from ridgeline.operators import isolation as iso
+from ridgeline.operators import polygon, prominence, regions, stencil, tree
+from ridgeline.plans.scratch import checkpoint_dir
+from ridgeline.sources import raster, sinks
+
+SPIKE, TILE, PER_DEGREE, BLOCK = 30, 16, 16, 8
+GRID = crs.DegreeGrid(40.0, -110.0, 44.0, -106.0, PER_DEGREE, PER_DEGREE)
+# Two polygons in the degrees of GRID, closed.
+POLYGONS = {1: [(-109.5, 40.5), (-107.3, 41.2), (-106.4, 43.6), (-108.9, 43.1), (-109.5, 40.5)], 2: [(-107.0, 40.2), (-106.2, 40.2), (-106.2, 41.1), (-107.0, 40.2)]}
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+BASE_SQL = {
+    "t16": "t16 as (select (l_partkey % 16)::int as gx, (l_orderkey % 16)::int as gy, sum(l_quantity)::bigint as elev from lineitem group by 1, 2)",
+    "t64": "t64 as (select * from (select (l_partkey % 64)::int as gx, (l_orderkey % 64)::int as gy, sum(l_quantity)::bigint as elev from lineitem group by 1, 2) where elev % 11 <> 0)",
+    "ring": "off(dx, dy) as (select a.x, b.x from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x) where a.x <> 0 or b.x <> 0)",
+}
+
+
+def _sql(*parts: str) -> str:
+    """A query with the named base tables in front."""
+    base = [BASE_SQL[p] for p in parts[:-1] if p in BASE_SQL]
+    rest = [p for p in parts[:-1] if p not in BASE_SQL]
+    return f"with recursive {', '.join(base + rest)} {parts[-1]}"
+
+
+def _raster(spark: SparkSession, sf_dir: str, n: int, holes: bool = False) -> DataFrame:
+    checkpoint_dir(spark)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = items.groupBy((F.col("l_partkey") % n).cast("int").alias("gx"), (F.col("l_orderkey") % n).cast("int").alias("gy")).agg(F.sum("l_quantity").cast("long").alias("elev"))
+    return at.where("elev % 11 <> 0") if holes else at
+
+
+def _t16(spark, d):
+    return _raster(spark, d, 16)
+
+
+def _t64(spark, d):
+    return _raster(spark, d, 64, True)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _polygon_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, [{"lng": x, "lat": y} for x, y in ring]) for k, ring in POLYGONS.items()], "poly_id int, ring array<struct<lng: double, lat: double>>")
+
+
+_POLY_SQL = "edge(poly_id, x1, y1, x2, y2) as (values " + ", ".join(f"({k}, {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for k, ring in POLYGONS.items() for a, b in zip(ring, ring[1:], strict=False)) + ")"
+_GEO_SQL = f"geo as (select gx, gy, elev, 44.0::double - gy / {PER_DEGREE}.0::double as lat, -110.0::double + gx / {PER_DEGREE}.0::double as lng from t64)"
+
+
+def _geo(spark, d):
+    lat, lng = GRID.position(F.col("gx"), F.col("gy"))
+    return _t64(spark, d).withColumn("lat", lat).withColumn("lng", lng)
+
+
+# --- rasters -----------------------------------------------------------------
+
+
+@query(_sql("t64", "select gx, gy, elev from t64"))
+def raster_build(spark, d):
+    return _t64(spark, d).select("gx", "gy", "elev")
+
+
+@query(_sql("t64", f"select (gx // {TILE})::int as tx, (gy // {TILE})::int as ty, greatest(max(elev), 0) as max_elev from t64 group by 1, 2"))
+def tile_max(spark, d):
+    return stencil.tile_maximum(_t64(spark, d), TILE)
+
+
+@query(_sql("t64", "select gx, gy, -elev as elev from t64"))
+def tile_flip(spark, d):
+    return stencil.flip(_t64(spark, d)).select("gx", "gy", "elev")
+
+
+@query(_sql("t64", "select gx, gy, round(elev * 0.3048, 6) as elev from t64"))
+def unit_scale(spark, d):
+    return stencil.scale(_t64(spark, d), geo.METRES_PER_FOOT).select("gx", "gy", F.round(F.col("elev").cast("double"), 6).alias("elev"))
+
+
+@query(_sql("t64", f"select (gx // {TILE})::int as tx, (gy // {TILE})::int as ty, min(gx) as min_x, min(gy) as min_y, max(gx) as max_x, max(gy) as max_y, count(*) as n from t64 group by 1, 2"))
+def data_extent(spark, d):
+    return stencil.data_extent(_t64(spark, d), TILE)
+
+
+@query(_sql("t64", "select (gx // 4)::int as gx, (gy // 4)::int as gy, max(elev)::float as elev from t64 group by 1, 2"))
+def regrid(spark, d):
+    return raster.regrid(_t64(spark, d), 4)
+
+
+@query(_sql("t64", f"select gx, gy, elev from t64 c where not exists (select 1 from t64 n where abs(n.gx - c.gx) + abs(n.gy - c.gy) = 1 and c.elev - n.elev > {SPIKE})"))
+def despike_single_pass(spark, d):
+    return stencil.despike(_t64(spark, d), SPIKE)
+
+
+@query()
+def despike_in_order(spark, d):
+    return stencil.despike_in_order(_t64(spark, d), SPIKE, TILE)
+
+
+@query(
+    _sql(
+        "t64",
+        f"tile as (select (gx // {TILE})::int as tx, (gy // {TILE})::int as ty, (gx % {TILE})::int as x, (gy % {TILE})::int as y, elev from t64)",
+        f"slots as (select tx, ty, x, y from tile union select tx - 1, ty, {TILE - 1}, y from tile where x = 0 union select tx, ty - 1, x, {TILE - 1} from tile where y = 0)",
+        f"select s.tx, s.ty, s.x, s.y, coalesce(e.elev, n.elev, o.elev) as elev from slots s left join tile o using (tx, ty, x, y) left join tile e on s.x = {TILE - 1} and e.tx = s.tx + 1 and e.ty = s.ty and e.x = 0 and e.y = s.y left join tile n on s.y = {TILE - 1} and n.tx = s.tx and n.ty = s.ty + 1 and n.y = 0 and n.x = s.x",
+    )
+)
+def edge_overlap_copy(spark, d):
+    return stencil.copy_edges(_t64(spark, d), TILE)
+
+
+@query(
+    _sql(
+        "t64",
+        f"tile as (select distinct (gx // {TILE})::int as tx, (gy // {TILE})::int as ty from t64)",
+        f"select tx, ty, (gx - tx * {TILE})::int as x, (gy - ty * {TILE})::int as y, elev from tile join t64 on gx between tx * {TILE} and tx * {TILE} + {TILE} and gy between ty * {TILE} and ty * {TILE} + {TILE}",
+    )
+)
+def edge_overlap_append(spark, d):
+    return stencil.append_edges(_t64(spark, d), TILE)
+
+
+_PEAKS_SQL = "cand as (select gx, gy, elev from t64 c where not exists (select 1 from t64 n where abs(n.gx - c.gx) <= 1 and abs(n.gy - c.gy) <= 1 and n.elev > c.elev))"
+
+
+@query(_sql("t64", _PEAKS_SQL, "select gx, gy, elev from cand"))
+def stencil_peaks(spark, d):
+    return stencil.candidate_peaks(_t64(spark, d))
+
+
+_REACH = "{name}(gx, gy, elev, ax, ay) as (select gx, gy, elev, gx, gy from {src} union select n.gx, n.gy, n.elev, r.ax, r.ay from {name} r join {src} n on n.elev = r.elev and {near})"
+
+
+@query(_sql("t64", _PEAKS_SQL, _REACH.format(name="reach", src="cand", near="abs(n.gx - r.gx) + abs(n.gy - r.gy) = 1"), "select gx, gy, elev from (select gx, gy, elev, min(ay::bigint * 100000 + ax) as first from reach group by 1, 2, 3) where first = gy::bigint * 100000 + gx"))
+def plateau_thin(spark, d):
+    return regions.thin_plateaus(stencil.candidate_peaks(_t64(spark, d)))
+
+
+_FLAT = _REACH.format(name="flat", src="t64", near="abs(n.gx - r.gx) <= 1 and abs(n.gy - r.gy) <= 1")
+
+
+@query(_sql("t64", _FLAT, "select gx, gy, elev, (min(ay::bigint * 100000 + ax) % 100000)::int as cx, (min(ay::bigint * 100000 + ax) // 100000)::int as cy from flat group by 1, 2, 3"))
+def flat_components(spark, d):
+    return regions.flat_components(_t64(spark, d))
+
+
+@query(
+    _sql(
+        "t64",
+        _FLAT,
+        "comp as (select gx, gy, elev, min(ay::bigint * 100000 + ax) as c from flat group by 1, 2, 3)",
+        "low as (select distinct c.c from comp c join t64 n on abs(n.gx - c.gx) <= 1 and abs(n.gy - c.gy) <= 1 and n.elev > c.elev)",
+        "select distinct (c % 100000)::int as gx, (c // 100000)::int as gy, elev from comp where c not in (select c from low)",
+    )
+)
+def plateau_peaks(spark, d):
+    return regions.plateau_peaks(_t64(spark, d))
+
+
+def _ring_sql() -> str:
+    at = ", ".join(f"max(case when n.gx - c.gx = {dx} and n.gy - c.gy = {dy} then n.elev end) as n{i}" for i, (dx, dy) in enumerate(stencil.RING))
+    high = ", ".join(f"coalesce(n{i} > elev, false) as h{i}" for i in range(8))
+    closed = ", ".join(f"h{i} as a{i}" if i % 2 else f"(h{i} or (h{(i - 1) % 8} and h{(i + 1) % 8})) as a{i}" for i in range(8))
+    starts = " + ".join(f"(a{i} and not a{(i - 1) % 8})::int" for i in range(8))
+    flat = " or ".join(f"coalesce(n{i} = elev, false)" for i in range(8))
+    return _sql("t64", f"ringed as (select c.gx, c.gy, c.elev, {at} from t64 c left join t64 n on abs(n.gx - c.gx) <= 1 and abs(n.gy - c.gy) <= 1 group by 1, 2, 3)", f"high as (select *, {high} from ringed where not ({flat}))", f"closed as (select gx, gy, elev, {closed} from high)", f"select gx, gy, elev, ({starts} - 1)::int as n_saddles from closed where {starts} >= 2")
+
+
+@query(_ring_sql())
+def saddle_candidates(spark, d):
+    return stencil.ring_saddles(_t64(spark, d))
+
+
+@query(") select n_saddles, count(*) as n from (select gx, gy, elev, ".join(_ring_sql().rsplit(") select gx, gy, elev, ", 1)) + ") group by 1")
+def saddle_counts(spark, d):
+    return stencil.ring_saddles(_t64(spark, d)).groupBy("n_saddles").agg(F.count("*").alias("n"))
+
+
+def _steep(src: str) -> str:
+    return f"steep as (select c.gx, c.gy, c.elev, arg_max(n.gx, n.elev * 1000000 - n.gy * 1000 - n.gx) as ux, arg_max(n.gy, n.elev * 1000000 - n.gy * 1000 - n.gx) as uy from {src} c join {src} n on abs(n.gx - c.gx) <= 1 and abs(n.gy - c.gy) <= 1 group by 1, 2, 3)"
+
+
+@query(_sql("t64", _steep("t64"), "select gx, gy, elev, ux, uy from steep"))
+def steepest_neighbour(spark, d):
+    return stencil.steepest(_t64(spark, d))
+
+
+_WALK = "walk(gx, gy, elev, px, py) as (select gx, gy, elev, ux, uy from steep union select w.gx, w.gy, w.elev, s.ux, s.uy from walk w join steep s on s.gx = w.px and s.gy = w.py), region as (select w.gx, w.gy, w.elev, w.px, w.py from walk w join steep s on s.gx = w.px and s.gy = w.py and s.ux = s.gx and s.uy = s.gy)"
+
+
+@query(_sql("t64", _steep("t64"), _WALK, "select distinct gx, gy, elev, px, py from region"))
+def region_label(spark, d):
+    return regions.label_regions(_t64(spark, d))
+
+
+_RAG = "rag as (select least(a.py * 2147483648 + a.px, b.py * 2147483648 + b.px) as p, greatest(a.py * 2147483648 + a.px, b.py * 2147483648 + b.px) as q, max(least(a.elev, b.elev)) as level from region a join region b on abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 and (a.px <> b.px or a.py <> b.py) group by 1, 2)"
+
+
+@query(_sql("t64", _steep("t64"), _WALK, _RAG, "select p::bigint as p, q::bigint as q, level from rag"))
+def region_adjacency(spark, d):
+    return regions.region_adjacency(regions.label_regions(_t64(spark, d)))
+
+
+_FOREST = "span(p, q, level, node) as (select p, q, level, p from rag union select s.p, s.q, s.level, case when r.p = s.node then r.q else r.p end from span s join rag r on (r.p = s.node or r.q = s.node) and (-r.level, r.p, r.q) < (-s.level, s.p, s.q)), forest as (select p, q, level from rag except select p, q, level from span where node = q)"
+
+
+@query(_sql("t16", _steep("t16"), _WALK, _RAG, _FOREST, "select p::bigint as p, q::bigint as q, level from forest"))
+def max_spanning_forest(spark, d):
+    return regions.spanning_forest(regions.region_adjacency(regions.label_regions(_t16(spark, d))))
+
+
+_TOPS = "tops as (select distinct s.gx, s.gy, s.elev, s.gy * 2147483648 + s.gx as id from steep s where s.ux = s.gx and s.uy = s.gy)"
+# The level at which a top first meets higher ground, over the forest's levels.
+_MEET = "levels as (select distinct level from rag), flood(id, level, node) as (select id, level, id from tops, levels where level <= elev union select f.id, f.level, case when r.p = f.node then r.q else r.p end from flood f join rag r on (r.p = f.node or r.q = f.node) and r.level >= f.level), meet as (select t.id, max(f.level) as level from tops t join flood f using (id) join tops o on o.id = f.node and (o.elev, o.id) > (t.elev, t.id) group by 1)"
+
+
+def _prominence_sql(sea: str) -> str:
+    return _sql("t16", _steep("t16"), _WALK, _RAG, _TOPS, _MEET, f"select gx, gy, elev::double as elev, (elev - coalesce(level, {sea}))::double as prominence from tops left join meet using (id) where elev - coalesce(level, {sea}) > 0")
+
+
+@query(_prominence_sql("0"))
+def prominence_t16(spark, d):
+    return prominence.prominence(_t16(spark, d), BLOCK).select("gx", "gy", "elev", "prominence")
+
+
+_Q["prominence"], _SQL["prominence"] = _Q.pop("prominence_t16"), _SQL.pop("prominence_t16")
+
+
+@query(_prominence_sql("(select min(m.level) from meet m join tops t using (id) where t.elev > m.level)"))
+def prominence_bathy(spark, d):
+    return prominence.prominence(_t16(spark, d), BLOCK, bathymetry=True).select("gx", "gy", "elev", "prominence")
+
+
+@query(_prominence_sql("(select min(m.level) from meet m join tops t using (id) where t.elev > m.level)").replace("sum(l_quantity)::bigint as elev", "-sum(l_quantity)::bigint as elev").replace("elev::double as elev", "-elev::double as elev"))
+def anti_prominence(spark, d):
+    return prominence.anti_prominence(_t16(spark, d), BLOCK).select("gx", "gy", "elev", "prominence")
+
+
+@query(_prominence_sql("0").replace("where elev - coalesce(level, 0) > 0", "where elev - coalesce(level, 0) >= 40"))
+def prune_min(spark, d):
+    return prominence.prune(prominence.prominence(_t16(spark, d), BLOCK), 40).select("gx", "gy", "elev", "prominence")
+
+
+@query()
+def prominence_t64(spark, d):
+    return prominence.prominence(_t64(spark, d), TILE)
+
+
+@query()
+def line_and_prominence_parents(spark, d):
+    return prominence.parents(_t64(spark, d), TILE)
+
+
+# --- runoffs and trees ---------------------------------------------------------
+
+_SERIES = "series as (select ty, pos, case when v % 7 = 0 then null else v end as v from (select (gy // 16)::int as ty, gx as pos, sum(elev)::bigint as v from t64 where gy % 16 = 0 group by 1, 2))"
+
+
+@query(
+    _sql(
+        "t64",
+        _SERIES,
+        "step as (select *, row_number() over w as n, lag(v) over w as lv, lag(pos) over w as lp from series window w as (partition by ty order by pos))",
+        "mark as (select *, case when n = 1 then false else v is not null and (lv is null or v > lv) end as rise, n > 1 and lv is not null and (v is null or v < lv) as fall from step)",
+        "last as (select *, last_value(case when rise then true when fall then false end ignore nulls) over (partition by ty order by pos rows between unbounded preceding and 1 preceding) as was from mark)",
+        "select ty, lp as pos, lv as v from last where fall and was",
+    )
+)
+def runoffs(spark, d):
+    series = _t64(spark, d).where("gy % 16 = 0").groupBy(F.floor(F.col("gy") / 16).cast("int").alias("ty"), F.col("gx").alias("pos")).agg(F.sum("elev").alias("v"))
+    return stencil.edge_runoffs(series.withColumn("v", F.when(F.col("v") % 7 != 0, F.col("v"))), ["ty"], "pos", "v")
+
+
+def _runoff_table(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("runoff_id"), (F.col("user_id") % 40).cast("int").alias("x"), (F.col("event_id") % 7).cast("int").alias("y"), (F.col("event_id") % 3 + 1).cast("int").alias("quadrants"))
+
+
+_RUNOFF_SQL = "ro as (select event_id as runoff_id, (user_id % 40)::int as x, (event_id % 7)::int as y, (event_id % 3 + 1)::int as quadrants from events)"
+
+
+@query(f"with {_RUNOFF_SQL}, n as (select runoff_id, x % 36 as x, y, (row_number() over (partition by x % 36, y order by runoff_id) - 1) // 2 as pair from ro) select min(runoff_id) as a, max(runoff_id) as b, x, y from n group by x, y, pair having count(*) = 2")
+def runoff_splice(spark, d):
+    return stencil.splice(_runoff_table(spark, d), 36).select("a", "b", F.col("x").cast("int").alias("x"), "y")
+
+
+@query(f"with {_RUNOFF_SQL} select x % 36 as x, y, sum(quadrants)::bigint as quadrants from ro group by 1, 2 having count(*) > 1")
+def quadrant_sum(spark, d):
+    return stencil.filled_quadrants(_runoff_table(spark, d), 36)
+
+
+@query("select s_suppkey as id, s_suppkey % 10 as x, s_suppkey % 7 as y from supplier union all select c_custkey + 100000, c_custkey % 10 + 5, c_custkey % 7 + 2 from customer")
+def tree_union(spark, d):
+    at = lambda t, k: spark.read.parquet(f"{d}/{t}.parquet").select(F.col(k).alias("id"), (F.col(k) % 10).alias("x"), (F.col(k) % 7).alias("y"))
+    return tree.union_trees(at("supplier", "s_suppkey"), at("customer", "c_custkey"), "id", 100000, 5, 2)
+
+
+def _saddle_table(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, "pfbe")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("saddle_id"), kind.alias("type"), F.col("o_totalprice").alias("elev"))
+
+
+@query("select o_orderkey as saddle_id, 'p' as type, o_totalprice as elev from orders where o_orderkey % 4 = 0")
+def compact(spark, d):
+    return tree.compact(_saddle_table(spark, d))
+
+
+@query("select substr('pfbe', (o_orderkey % 4 + 1)::int, 1) as type, count(*) as n from orders group by 1")
+def saddle_types(spark, d):
+    return tree.count_by_type(_saddle_table(spark, d))
+
+
+@query("select o_orderkey as saddle_id, row_number() over (order by o_orderkey) as new_id from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
+def renumber(spark, d):
+    gone = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_orderkey").alias("saddle_id")).distinct()
+    return tree.renumber(_saddle_table(spark, d).select("saddle_id"), "saddle_id", gone).select("saddle_id", "new_id")
+
+
+# --- isolation -----------------------------------------------------------------
+
+_ISO = "hit as (select p.gx, p.gy, p.elev, n.gx as x, n.gy as y, sqrt(((n.gx - p.gx) * (n.gx - p.gx) + (n.gy - p.gy) * (n.gy - p.gy))::double) as dist from cand p join t64 n on n.elev > p.elev), best as (select *, row_number() over (partition by gx, gy order by dist, y, x) as r from hit)"
+_ISO_SQL = _sql("t64", _PEAKS_SQL, _ISO, "select c.gx, c.gy, c.elev, b.x as higher_x, b.y as higher_y, b.dist as distance from cand c left join best b on b.gx = c.gx and b.gy = c.gy and b.r = 1")
+
+
+@query(_ISO_SQL)
+def isolation_blocked(spark, d):
+    cells = _t64(spark, d)
+    return iso.isolation(stencil.candidate_peaks(cells), cells, BLOCK)
+
+
+@query(_ISO_SQL.replace("from cand c left join", "from cand c join").replace("b.r = 1", "b.r = 1 and b.dist > 3"))
+def isolation_at_least(spark, d):
+    cells = _t64(spark, d)
+    found = iso.isolation(stencil.candidate_peaks(cells), cells, BLOCK)
+    return iso.at_least(found, 3, "distance").where("distance is not null")
+
+
+@query()
+def isolation_geographic(spark, d):
+    cells = _t64(spark, d).select((F.col("gx") + round(70 * PER_DEGREE)).alias("gx"), (F.col("gy") + round(46 * PER_DEGREE)).alias("gy"), "elev")
+    return iso.geographic_isolation(stencil.candidate_peaks(cells), cells, PER_DEGREE, 1.0)
+
+
+_CAP = "cap as (select gx, gy, elev, lat - degrees(30000 / 6371010.0) as s, lat + degrees(30000 / 6371010.0) as n, lng - degrees(asin(sin(30000 / 6371010.0) / cos(radians(lat)))) as w, lng + degrees(asin(sin(30000 / 6371010.0) / cos(radians(lat)))) as e from geo)"
+
+
+@query(_sql("t64", _GEO_SQL, _CAP, "tile as (select floor(lat)::int as tlat, floor(lng)::int as tlng, max(elev) as top from geo group by 1, 2)", "select c.gy::bigint * 64 + c.gx as peak_id, t.tlat || '/' || t.tlng as tile_id from cap c join tile t on t.tlat between floor(c.s) and floor(c.n) and t.tlng between floor(c.w) and floor(c.e) and t.top > c.elev"))
+def candidate_tiles_cap(spark, d):
+    at = _geo(spark, d)
+    tiles = at.groupBy(F.floor("lat").cast("int").alias("lat"), F.floor("lng").cast("int").alias("lng")).agg(F.max("elev").alias("max_elev")).withColumn("tile_id", F.concat_ws("/", "lat", "lng"))
+    return iso.candidate_tiles(at.withColumn("peak_id", F.col("gy").cast("long") * 64 + F.col("gx")), tiles, F.lit(30000.0))
+
+
+@query(_sql("t64", _GEO_SQL, _CAP, "select gx, gy, round(s, 6) as min_lat, round(w, 6) as min_lng, round(n, 6) as max_lat, round(e, 6) as max_lng from cap"))
+def cap_bounds(spark, d):
+    box = geo.cap_bounds(F.col("lat"), F.col("lng"), F.lit(30000.0))
+    return _geo(spark, d).select("gx", "gy", *(F.round(box[c], 6).alias(c) for c in ("min_lat", "min_lng", "max_lat", "max_lng")))
+
+
+# --- geodesy -------------------------------------------------------------------
+
+_FROM = "46.5::double"
+_H = f"(sin(radians({_FROM} - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians({_FROM})) * sin(radians(-100 - lng) / 2) ** 2)"
+
+
+@query(_sql("t64", _GEO_SQL, "select gx, gy, round(lat, 6) as lat, round(lng, 6) as lng from geo"))
+def latlng(spark, d):
+    return _geo(spark, d).select("gx", "gy", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query(_sql("t64", _GEO_SQL, f"select gx, gy, round(2 * 6371010.0 * atan2(sqrt({_H}), sqrt(1 - {_H})), 4) as metres from geo"))
+def haversine(spark, d):
+    return _geo(spark, d).select("gx", "gy", F.round(geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(46.5), F.lit(-100.0)), 4).alias("metres"))
+
+
+@query(
+    _sql(
+        "t64",
+        _GEO_SQL,
+        "a as (select gx, gy, sin(radians((lat + 46.5) / 2)) ** 2 as sf, cos(radians((lat + 46.5) / 2)) ** 2 as cf, sin(radians((lat - 46.5) / 2)) ** 2 as sg, cos(radians((lat - 46.5) / 2)) ** 2 as cg, sin(radians((lng + 100) / 2)) ** 2 as sl, cos(radians((lng + 100) / 2)) ** 2 as cl from geo)",
+        "b as (select *, sg * cl + cf * sl as s, cg * cl + sf * sl as c from a)",
+        "w as (select *, atan2(sqrt(s), sqrt(c)) as w, sqrt(s * c) / atan2(sqrt(s), sqrt(c)) as r, 1 / 298.257223563::double as f from b)",
+        "select gx, gy, round(2000 * w * 6378.137 * (1 + f * (3 * r - 1) / (2 * c) * sf * cg - f * (3 * r + 1) / (2 * s) * cf * sg), 4) as metres from w",
+    )
+)
+def ellipsoid(spark, d):
+    return _geo(spark, d).select("gx", "gy", F.round(geo.ellipsoid_m(F.col("lat"), F.col("lng"), F.lit(46.5), F.lit(-100.0)), 4).alias("metres"))
+
+
+@query(_sql("t64", _GEO_SQL, f"select gx, gy, round(atan2(sin(radians(lng + 100)) * cos(radians({_FROM})), cos(radians(lat)) * sin(radians({_FROM})) - sin(radians(lat)) * cos(radians({_FROM})) * cos(radians(lng + 100))), 9) as angle from geo"))
+def bearing(spark, d):
+    return _geo(spark, d).select("gx", "gy", F.round(geo.bearing(F.col("lat"), F.col("lng"), F.lit(46.5), F.lit(-100.0)), 9).alias("angle"))
+
+
+def _world(spark, d):
+    """Positions all over the globe."""
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 37 % 1700) / 10.0 - 85).alias("lat"), ((F.col("o_orderkey") * 53 % 3600) / 10.0 - 180).alias("lng"))
+
+
+_WORLD = "world as (select o_orderkey as id, (o_orderkey * 37 % 1700) / 10.0::double - 85 as lat, (o_orderkey * 53 % 3600) / 10.0::double - 180 as lng from orders)"
+_ZONE = "zone as (select *, case when lat >= 56 and lat < 64 and lng >= 3 and lng < 12 then 32 when lat >= 72 and lat < 84 and lng >= 0 and lng < 42 then case when lng < 9 then 31 when lng < 21 then 33 when lng < 33 then 35 else 37 end else floor((lng + 180) / 6)::int + 1 end as zone, case when lat < -80 or lat > 84 then 'Z' else substr('CDEFGHJKLMNPQRSTUVWX', least(floor((lat + 80) / 8), 19)::int + 1, 1) end as band from world)"
+_E2 = geo.UTM_E2
+_S2 = _E2 / (1 - _E2)
+_M = f"(({1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256!r}) * phi - ({3 * _E2 / 8 + 3 * _E2**2 / 32 + 45 * _E2**3 / 1024!r}) * sin(2 * phi) + ({15 * _E2**2 / 256 + 45 * _E2**3 / 1024!r}) * sin(4 * phi) - ({35 * _E2**3 / 3072!r}) * sin(6 * phi)) * 6378137.0"
+
+
+@query(
+    "with "
+    + ", ".join(
+        [
+            _WORLD,
+            _ZONE,
+            f"u as (select *, radians(lat) as phi, cos(radians(lat)) * radians(lng - (zone * 6 - 183)) as a, tan(radians(lat)) ** 2 as t, {_S2!r} * cos(radians(lat)) ** 2 as c, 6378137.0 / sqrt(1 - {_E2!r} * sin(radians(lat)) ** 2) as n from zone)",
+        ]
+    )
+    + f" select id, zone::int as zone, band, round(0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_S2!r}) * a ** 5 / 120) + 500000, 3) as easting, round(0.9996 * ({_M} + n * tan(phi) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_S2!r}) * a ** 6 / 720)) + case when lat < 0 then 10000000 else 0 end, 3) as northing from u"
+)
+def utm_forward(spark, d):
+    u = geo.to_utm(F.col("lat"), F.col("lng"))
+    return _world(spark, d).select("id", u["zone"].alias("zone"), u["band"].alias("band"), F.round(u["easting"], 3).alias("easting"), F.round(u["northing"], 3).alias("northing"))
+
+
+@query(f"with {_WORLD} select id, round(lat, 5) as lat, round(lng, 5) as lng from world where lat >= 0 and lat < 56 ")
+def utm_inverse(spark, d):
+    """To UTM and back gives the position."""
+    u = _world(spark, d).where("lat >= 0 and lat < 56").withColumn("u", geo.to_utm(F.col("lat"), F.col("lng")))
+    back = geo.from_utm(F.col("u.zone"), F.col("u.easting"), F.col("u.northing"))
+    return u.select("id", F.round(back["lat"], 5).alias("lat"), F.round(back["lng"], 5).alias("lng"))
+
+
+@query(f"with {_WORLD} select id, round(((lng + 190 + 360) % 360) - 180, 6) as wrapped, round(case when lat >= 0 then lat + 0.001 else lat - 0.001 end, 6) as adjusted, round(100 * abs(lat - trunc(lat)))::int as hundredths, floor(lat / 5) * 5 as low, ceil(lat / 5) * 5 as high, round(lat * 0.3048, 6) as metres, round(lat * 3.28084, 6) as feet from world")
+def coordinate_helpers(spark, d):
+    at = _world(spark, d)
+    lat = F.col("lat")
+    return at.select("id", F.round(geo.wrap_longitude(F.col("lng") + 10), 6).alias("wrapped"), F.round(geo.adjust_coordinate(lat), 6).alias("adjusted"), geo.fractional_degree(lat).alias("hundredths"), geo.round_down(lat, 5).cast("double").alias("low"), geo.round_up(lat, 5).cast("double").alias("high"), F.round(geo.feet_to_metres(lat), 6).alias("metres"), F.round(geo.metres_to_feet(lat), 6).alias("feet"))
+
+
+# --- polygons ------------------------------------------------------------------
+
+_INSIDE = f"inside as (select g.gx, g.gy from geo g, edge e group by g.gx, g.gy, e.poly_id having sum((((e.y1 < g.lat and e.y2 >= g.lat) or (e.y2 < g.lat and e.y1 >= g.lat)) and e.x1 + (g.lat - e.y1) / nullif(e.y2 - e.y1, 0) * (e.x2 - e.x1) < g.lng)::int) % 2 = 1)"
+
+
+@query(_sql("t64", _GEO_SQL, _POLY_SQL, _INSIDE, "select distinct gx, gy from inside"))
+def point_in_polygon(spark, d):
+    return polygon.filter_points(_geo(spark, d), _polygon_table(spark)).select("gx", "gy")
+
+
+@query(_sql("t64", _GEO_SQL, _POLY_SQL, _INSIDE, "select gx, gy from geo except select gx, gy from inside"))
+def outside_polygon(spark, d):
+    return polygon.filter_points(_geo(spark, d), _polygon_table(spark), invert=True).select("gx", "gy")
+
+
+@query(_sql("t64", _GEO_SQL, _POLY_SQL, _INSIDE, "select count(i.gx) as inside, count(*) - count(i.gx) as outside from geo g left join (select distinct gx, gy from inside) i on i.gx = g.gx and i.gy = g.gy"))
+def inside_counts(spark, d):
+    at = _geo(spark, d).select("gx", "gy", "lat", "lng")
+    marked = at.join(polygon.filter_points(at, _polygon_table(spark)).select("gx", "gy", F.lit(1).alias("i")), ["gx", "gy"], "left")
+    return marked.agg(F.count("i").alias("inside"), (F.count("*") - F.count("i")).alias("outside"))
+
+
+@query(_sql("t64", _GEO_SQL, _POLY_SQL.replace("edge(", "edge0("), "edge as (select poly_id, case when x1 < -108 then x1 + 360 else x1 end as x1, y1, case when x2 < -108 then x2 + 360 else x2 end as x2, y2 from edge0)", _INSIDE.replace("< g.lng", "< (case when g.lng < -108 then g.lng + 360 else g.lng end)"), "select distinct gx, gy from inside"))
+def polygon_wrap(spark, d):
+    return polygon.filter_points(_geo(spark, d), _polygon_table(spark), wrap=-108.0).select("gx", "gy")
+
+
+_BOX = "box as (select distinct gx // 8 as bx, gy // 8 as bz, -110.0::double + (gx // 8) * 0.5 as w, 44.0::double - (gy // 8 + 1) * 0.5 as s from t64), corner as (select bx, bz, w + dx * 0.5 as lng, s + dy * 0.5 as lat from box, (values (0, 0), (0, 1), (1, 1), (1, 0)) c(dx, dy)), side as (select bx, bz, w + ax * 0.5 as px, s + ay * 0.5 as py, w + bx2 * 0.5 as qx, s + by2 * 0.5 as qy from box, (values (0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0)) c(ax, ay, bx2, by2))"
+
+
+@query(
+    _sql(
+        "t64",
+        _POLY_SQL,
+        _BOX,
+        "a as (select c.bx, c.bz from corner c, edge e group by c.bx, c.bz, c.lng, c.lat, e.poly_id having sum((((e.y1 < c.lat and e.y2 >= c.lat) or (e.y2 < c.lat and e.y1 >= c.lat)) and e.x1 + (c.lat - e.y1) / nullif(e.y2 - e.y1, 0) * (e.x2 - e.x1) < c.lng)::int) % 2 = 1)",
+        "b as (select s.bx, s.bz, (e.x2 - e.x1) * (s.qy - s.py) - (e.y2 - e.y1) * (s.qx - s.px) as turn, (s.px - e.x1) * (s.qy - s.py) - (s.py - e.y1) * (s.qx - s.px) as n1, (s.px - e.x1) * (e.y2 - e.y1) - (s.py - e.y1) * (e.x2 - e.x1) as n2 from side s, edge e)",
+        "v as (select bx, bz from box, edge where x1 between w and w + 0.5 and y1 between s and s + 0.5)",
+        "select distinct bx::int as bx, bz::int as \"by\" from (select bx, bz from a union all select bx, bz from b where turn <> 0 and n1 / turn between 0 and 1 and n2 / turn between 0 and 1 union all select bx, bz from v)",
+    )
+)
+def rect_intersects(spark, d):
+    boxes = _t64(spark, d).select(F.floor(F.col("gx") / 8).cast("int").alias("bx"), F.floor(F.col("gy") / 8).cast("int").alias("by")).distinct()
+    at = boxes.withColumn("lng", F.lit(-110.0) + F.col("bx") * 0.5).withColumn("lat", F.lit(44.0) - (F.col("by") + 1) * 0.5)
+    return polygon.tiles_in_polygons(at, _polygon_table(spark), 0.5).select("bx", "by")
+
+
+@query(f"with {_POLY_SQL} select poly_id, min(x1) as min_lng, min(y1) as min_lat, max(x1) as max_lng, max(y1) as max_lat from edge group by 1")
+def polygon_bounds(spark, d):
+    b = polygon.ring_bounds(F.col("ring"))
+    return _polygon_table(spark).select("poly_id", *(b[c].alias(c) for c in ("min_lng", "min_lat", "max_lng", "max_lat")))
+
+
+# --- coordinate systems and text -----------------------------------------------
+
+
+def _extents(spark, d):
+    at = spark.read.parquet(f"{d}/supplier.parquet")
+    lat, lng = (F.col("s_suppkey") % 20 + 30).cast("double"), (F.col("s_suppkey") % 50 - 120).cast("double")
+    return at.select(F.col("s_suppkey").alias("id"), lat.alias("min_lat"), lng.alias("min_lng"), (lat + 1).alias("max_lat"), (lng + 1).alias("max_lng"))
+
+
+_EXT = "ext as (select s_suppkey as id, (s_suppkey % 20 + 30)::double as min_lat, (s_suppkey % 50 - 120)::double as min_lng, (s_suppkey % 20 + 31)::double as max_lat, (s_suppkey % 50 - 119)::double as max_lng from supplier)"
+
+
+@query(f"with {_EXT} select min(min_lat) as min_lat, min(min_lng) as min_lng, max(max_lat) as max_lat, max(max_lng) as max_lng from ext")
+def crs_merge(spark, d):
+    return crs.merged_extent(_extents(spark, d))
+
+
+@query(f"with {_EXT} select id, round((min_lng - (select min(min_lng) from ext)) * 16)::int as dx, round(((select max(max_lat) from ext) - max_lat) * 16)::int as dy from ext")
+def offsets_to(spark, d):
+    at = _extents(spark, d)
+    return crs.offsets_to_extent(at, crs.merged_extent(at), 16).select("id", "dx", "dy")
+
+
+@query("select printf('P,%d,%d,%d,%.2f', s_suppkey, (s_suppkey % 10)::int, (s_suppkey % 7)::int, s_acctbal) as line from supplier")
+def dvt_lines(spark, d):
+    peaks = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("peak_id"), (F.col("s_suppkey") % 10).alias("x"), (F.col("s_suppkey") % 7).alias("y"), F.col("s_acctbal").alias("elev"))
+    return sinks.dvt_lines(GRID, {"P": peaks}).where("part = 1").select("line")
+
+
+@query(_sql("t64", _PEAKS_SQL, _ISO, f"select printf('%.4f,%.4f,%.2f,%.4f,%.4f,%.4f', 44.0 - c.gy / {PER_DEGREE}.0, -110.0 + c.gx / {PER_DEGREE}.0, c.elev::double, coalesce(44.0 - b.y / {PER_DEGREE}.0, 0.0), coalesce(-110.0 + b.x / {PER_DEGREE}.0, 0.0), coalesce(b.dist, -1.0)) as line from cand c left join best b on b.gx = c.gx and b.gy = c.gy and b.r = 1"))
+def isolation_lines(spark, d):
+    cells = _t64(spark, d)
+    return sinks.isolation_lines(iso.isolation(stencil.candidate_peaks(cells), cells, BLOCK).withColumnRenamed("distance", "isolation_km"), GRID)
+
+
+@query()
+def prominence_lines(spark, d):
+    return sinks.prominence_lines(prominence.prominence(_t64(spark, d), TILE), GRID, geo.FEET_PER_METRE)
+
+
+@query("select (40 + a.range * 0.25)::double as lat, case when 179 + b.range * 0.25 >= 180 then 179 + b.range * 0.25 - 360 else 179 + b.range * 0.25 end::double as lng from range(0, 8) a, range(0, 8) b")
+def tile_enumeration(spark, d):
+    return raster.enumerate_tiles(spark, "NED19", 40, 42, 179, 181).select("lat", "lng")
+
+
+@query(f"with {_WORLD}, a as (select id, case when lat >= 0 then lat + 0.001 else lat - 0.001 end as lat, case when lng >= 0 then lng + 0.001 else lng - 0.001 end as lng from world) select id, printf('prominence-%s%02dx%02d-%s%03dx%02d', case when lat >= 0 then '' else '-' end, abs(trunc(lat))::int, round(100 * abs(lat - trunc(lat)))::int, case when lng >= 0 then '' else '-' end, abs(trunc(lng))::int, round(100 * abs(lng - trunc(lng)))::int) as name from a")
+def output_names(spark, d):
+    return _world(spark, d).select("id", geo.tile_name("prominence-", F.col("lat"), F.col("lng")).alias("name"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
