@@ -60,7 +60,8 @@ def ring_bounds(ring: Column) -> Column:
 
 
 def _cells_of(bounds: Column, cell: float) -> Column:
-    low, high = lambda c: F.floor(c / cell).cast("int"), lambda c: F.floor(c / cell).cast("int")
+    """Cells that the bounds touch, those that share only an edge or corner with them included."""
+    low, high = lambda c: (F.ceil(c / cell) - 1).cast("int"), lambda c: F.floor(c / cell).cast("int")
     xs, ys = F.sequence(low(bounds["min_lng"]), high(bounds["max_lng"])), F.sequence(low(bounds["min_lat"]), high(bounds["max_lat"]))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
