@@ -96,7 +96,7 @@ def tile_flip(spark, d):
     return stencil.flip(_t64(spark, d)).select("gx", "gy", "elev")
 
 
-@query(_sql("t64", "select gx, gy, round(elev * 0.3048, 6) as elev from t64"))
+@query(_sql("t64", "select gx, gy, round(elev * 0.3048::double, 6) as elev from t64"))
 def unit_scale(spark, d):
     return stencil.scale(_t64(spark, d), geo.METRES_PER_FOOT).select("gx", "gy", F.round(F.col("elev").cast("double"), 6).alias("elev"))
 
