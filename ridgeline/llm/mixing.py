@@ -136,26 +136,52 @@ def _corrections(copies: DataFrame, solved: DataFrame, scratch: Scratch, limit:
     return scratch.keep(picked.groupBy("doc_id").agg(F.first("step").alias("step")))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row of documents."""
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("mix"))
+
+
+def _copies(size: Column, hashed: Column, limit: int) -> Column:
+    """Whole copies from the rate of a row that has target, lam and scale; a uniform number in [0, 1) from the hash decides the fraction."""
+    chance = F.shiftrightunsigned(hashed, 11).cast("double") / float(1 << 53)
+    rate = F.when(size == 0, 1.0).when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("lam"), size / F.col("scale"), limit))
+    return F.least(F.floor(rate + chance), F.lit(limit)).cast("long")
+
+
+def _corrected(limit: int) -> Column:
+    return F.least(F.greatest(F.col("copies") + F.coalesce("step", F.lit(0)), F.lit(0)), F.lit(limit)).cast("long")
+
+
+def _decide(documents: DataFrame, weights: tuple[int, ...], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with their copies before correction, each source's solution, and the corrections."""
     scratch = Scratch(documents.sparkSession, "mixing")
-    docs = scratch.keep(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("mix")).alias("hash")))
+    docs = scratch.keep(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash().alias("hash")))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = scratch.keep(targets(sources, weights, limit))
     sizes = scratch.keep(docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve(sizes, wanted, scratch, limit)
     rated = docs.alias("d").join(solved.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.lam", "s.scale")
-    # A uniform number in [0, 1) from the hash decides the fraction.
-    chance = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
-    rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("lam"), F.col("size") / F.col("scale"), limit))
-    copied = scratch.keep(rated.select("doc_id", "source", "size", "hash", "source_size", "target", F.least(F.floor(rate + chance), F.lit(limit)).cast("long").alias("copies")))
-    moved = _corrections(copied, solved, scratch, limit)
-    final = copied.join(moved, "doc_id", "left").withColumn("copies", F.least(F.greatest(F.col("copies") + F.coalesce("step", F.lit(0)), F.lit(0)), F.lit(limit)))
-    return final.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    copied = scratch.keep(rated.select("doc_id", "source", "size", "hash", "source_size", "target", _copies(F.col("size"), F.col("hash"), limit).alias("copies")))
+    return copied, solved, _corrections(copied, solved, scratch, limit)
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for each row of documents."""
+    copied, _, moved = _decide(documents, weights, limit)
+    final = copied.join(moved, "doc_id", "left").withColumn("copies", _corrected(limit))
+    return final.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """documents with each row as often as the mix takes it; those taken zero times go."""
-    rates = Scratch(documents.sparkSession, "mixed").keep(mix(documents, weights, limit).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0"))
-    named = documents.alias("d").join(rates.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
-    return named.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("r.copies")))).select(*(F.col(f"d.`{c}`") for c in documents.columns))
+    """documents with each row as often as the mix takes it; those taken zero times go.
+
+    A row's copies follow from its own size and hash, its source's solution
+    and the corrections, so texts meet only those two small tables.
+    """
+    _, solved, moved = _decide(documents, weights, limit)
+    by_source = F.col("d.source").eqNullSafe(F.col("s.source"))
+    rated = documents.alias("d").join(solved.select("source", "target", "lam", "scale").alias("s"), by_source).join(moved.alias("m"), F.col("d.doc_id") == F.col("m.doc_id"), "left")
+    own = [F.col(f"d.`{c}`").alias(c) for c in documents.columns]
+    size, hashed = word_count(F.col("d.text")), F.xxhash64(F.coalesce(F.col("d.doc_id"), F.lit(-1)), F.lit("mix"))
+    counted = rated.select(*own, _copies(size, hashed, limit).alias("_copies"), F.col("m.step").alias("_step"))
+    corrected = F.least(F.greatest(F.col("_copies") + F.coalesce("_step", F.lit(0)), F.lit(0)), F.lit(limit)).cast("int")
+    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), corrected))).select(*documents.columns)
