@@ -44,7 +44,13 @@ def flood(grid):
     h, w = grid.shape
     cells = [(y, x) for y in range(h) for x in range(w) if not np.isnan(grid[y, x])]
     near = lambda y, x: [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and 0 <= y + a < h and 0 <= x + b < w and not np.isnan(grid[y + a, x + b])]
-    out = {}
+    out, first = {}, {}
+    for c in cells:  # in row order: a plateau's first cell names it
+        todo = [] if c in first else [c]
+        while todo:
+            p = todo.pop()
+            first[p] = c
+            todo += [n for n in near(*p) if grid[n] == grid[c] and n not in first]
     for y, x in cells:
         e = grid[y, x]
         plateau, todo, peak = {(y, x)}, [(y, x)], True
@@ -65,7 +71,7 @@ def flood(grid):
                     if n not in seen and grid[n] >= level:
                         seen.add(n)
                         todo.append(n)
-            if any(grid[c] > e or (grid[c] == e and c > (y, x) and c not in plateau) for c in seen):
+            if any((grid[c], first[c]) > (e, (y, x)) for c in seen):
                 met = level
                 break
         value = e - (met if met is not None else 0)
@@ -198,3 +204,23 @@ def test_kml_and_points(spark, tmp_path):
     peaks = spark.createDataFrame([(1, 2, 3.0)], "gx int, gy int, elev double")
     sinks.write_kml(sinks.kml_placemarks(peaks, crs.DegreeGrid(0.0, 0.0, 1.0, 1.0, 10, 10)), str(tmp_path / "out"))
     assert "<name>3.00</name>" in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_command_line(spark, tmp_path):
+    from ridgeline.cli import main
+
+    fmt = formats.parse_format("CUSTOM-0.5-8")
+    rng = np.random.default_rng(3)
+    (tmp_path / "in").mkdir()
+    for lng in (6.0, 6.5):
+        (tmp_path / "in" / formats.file_name(fmt, 59.0, lng)).write_bytes(rng.integers(1, 900, (8, 8)).astype("<f4").tobytes())
+    lines = {}
+    for program in ("prominence", "isolation", "parents"):
+        main([program, "-i", str(tmp_path / "in"), "-o", str(tmp_path / program), "-f", fmt.name, "-m", "50" if program != "isolation" else "1"], spark)
+        lines[program] = [x.value for x in spark.read.text(str(tmp_path / program)).collect()]
+    assert {len(x.split(",")) for x in lines["prominence"]} == {6} and {len(x.split(",")) for x in lines["parents"]} == {12}
+    assert sum(x.endswith(",-1.0000") for x in lines["isolation"]) >= 1
+    (tmp_path / "p.kml").write_text("<coordinates>6,59 6.5,59 6.5,59.6 6,59.6 6,59</coordinates>")
+    main(["filter", str(tmp_path / "p.kml"), str(tmp_path / "prominence"), str(tmp_path / "inside")], spark)
+    inside = [x.value for x in spark.read.text(str(tmp_path / "inside")).collect()]
+    assert 0 < len(inside) < len(lines["prominence"]) and set(inside) < set(lines["prominence"])
