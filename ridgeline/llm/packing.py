@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.words import Words, chunks, rows
+from ridgeline.llm.words import Words, chunks, rows, worker_state
 from ridgeline.plans.scratch import Scratch
 
 LENGTH = 4096
@@ -173,13 +173,8 @@ class CachedTokenizer:
         return out, text_at
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
-
-
 def tokenizer_at(path: str) -> CachedTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
-    return _TOKENIZERS[path]
+    return worker_state(("tokenizer", path), lambda: CachedTokenizer(path))
 
 
 class Packer:

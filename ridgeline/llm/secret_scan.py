@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ridgeline.llm.words import LOWER, chunks, rows
+from ridgeline.llm.words import LOWER, chunks, rows, worker_state
 
 #: Exact strings that are followed through a sequence before a query is made of them.
 MAX_STRINGS = 64
@@ -216,14 +216,8 @@ class Scanner:
         return out
 
 
-#: One scanner per rule set for each Python worker.
-_SCANNERS: dict[tuple[Rule, ...], Scanner] = {}
-
-
 def _scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+    return worker_state(("scanner", rules), lambda: Scanner(rules))
 
 
 SCAN_SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{r.kind}", pa.int64()) for r in BASE_RULES), ("base_sha256", pa.string()), ("spans", pa.string())])

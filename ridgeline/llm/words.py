@@ -13,10 +13,13 @@ chunk are hashed by three vector operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -128,6 +131,32 @@ class Words:
         return out.tobytes(), at, np.searchsorted(start, self.doc_at)
 
 
+#: What this Python worker keeps from task to task: key, state, and the task that last used it.
+_HELD: dict[str, Any] = {}
+
+
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
+    """State that a worker keeps for later tasks of an operator, made if it has none for key; it keeps one at a time."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        _give_back()
+        _HELD.update(key=key, state=make())
+    _HELD["task"] = _task()
+    return _HELD["state"]
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -137,7 +166,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows in order, with their texts, about size bytes of text at a time."""
+    """Rows in order, with their texts, about size bytes of text at a time.
+
+    Several workers share an executor's memory, so each gives back what it freed,
+    and what an earlier operator left in it.
+    """
+    if _HELD and _HELD["task"] != _task():
+        _HELD.clear()
+        _give_back()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         lengths = np.zeros(batch.num_rows, np.int64)
@@ -153,6 +189,9 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
             held += length + 1
         if start < batch.num_rows:
             yield (part := batch.slice(start)), texts_of(part.column(batch.schema.get_field_index(text)))
+        batch = column = part = None
+        pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
