@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ridgeline.llm import lm_scoring, mixing, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
+from ridgeline.llm import lm_scoring, mixing, near_copies, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.queries import tokenizer_path
 from ridgeline.llm.words import CHUNK_BYTES, Words
@@ -110,6 +110,49 @@ def test_keep_one(documents, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.component_id for r in found})
 
 
+def brute_near_groups(rows):
+    """The least doc_id of each group of texts that a Jaccard similarity of 0.8 of five-word shingles links."""
+    sets = {}
+    for doc, text, *_ in rows:
+        w = words(fold(text))
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {top(d) for d in sets}
+
+
+@pytest.mark.parametrize("hot", [32, 2])
+def test_near_dedup_stage_equals_brute_jaccard_groups(spark, hot, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    made = []
+    for group in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        for copy in range(6):
+            text = list(base)
+            for place in rng.choice(120, copy, replace=False):
+                text[place] = f"x{rng.integers(0, 9999)}"
+            made.append(" ".join(text))
+    made += ["One two three", "one TWO three", "one two four", "", None, " "]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(made)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(near_copies.keep_one, "__defaults__", (hot,))
+    kept = corpus_pipeline.near_dedup_stage(spark, documents, "")
+    assert kept.columns == documents.columns
+    assert {r.doc_id for r in kept.collect()} == brute_near_groups(rows)
+
+
 # 2 -------------------------------------------------------------------------
 
 
