@@ -50,12 +50,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def states(p: Params, table: np.ndarray, ids: np.ndarray, h: np.ndarray, keep: bool = False):
-    """The states after each step of ids (steps by texts), from h on; with keep, what backward needs as well."""
+def states(p: Params, table: np.ndarray, ids: np.ndarray, h: np.ndarray, keep: bool = False, fresh: np.ndarray | None = None):
+    """The states after each step of ids (steps by texts), from h on, or from zero at a step where fresh; with keep, what backward needs as well."""
     hid = HIDDEN
     out = np.empty((len(ids), *h.shape), np.float32)
     kept = []
     for t in range(len(ids)):
+        if fresh is not None:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         x = table[ids[t]]
         gates = _sigmoid(h @ p["u"][:, : 2 * hid] + x[:, : 2 * hid])
         r, z = gates[:, :hid], gates[:, hid:]
@@ -108,13 +110,19 @@ def log_probs(p: Params, x: np.ndarray, ids: np.ndarray, grads: Params | None =
     return out if grads is None else (out, dx)
 
 
-def gradients(p: Params, ids_in: np.ndarray, ids_out: np.ndarray, h: np.ndarray) -> tuple[float, Params, np.ndarray]:
-    """Loss and gradients of one window by truncated backpropagation, and the state after it (carried on, without gradient)."""
+def gradients(p: Params, ids_in: np.ndarray, ids_out: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, there: np.ndarray | None = None) -> tuple[float, Params, np.ndarray]:
+    """Loss and gradients of one window by truncated backpropagation, and the state after it (carried on, without gradient).
+
+    A step where fresh begins a text, from a zero state; only steps that are there count.
+    """
     hid = HIDDEN
     table = p["emb"] @ p["wx"] + p["b"]
-    out, last, kept = states(p, table, ids_in, h, keep=True)
+    out, last, kept = states(p, table, ids_in, h, keep=True, fresh=fresh)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    probs, dx = log_probs(p, out.reshape(-1, hid), ids_out.ravel(), grads)
+    counted = slice(None) if there is None else there.ravel()
+    probs, found = log_probs(p, out.reshape(-1, hid)[counted], ids_out.ravel()[counted], grads)
+    dx = np.zeros((out.shape[0] * out.shape[1], hid), found.dtype)
+    dx[counted] = found
     dx = dx.reshape(out.shape)
     da = np.empty((*ids_in.shape, 3 * hid), np.float32)
     back = np.zeros_like(h)
@@ -127,6 +135,8 @@ def gradients(p: Params, ids_in: np.ndarray, ids_out: np.ndarray, h: np.ndarray)
         da[t, :, :hid] = drh * h0 * r * (1 - r)
         da[t, :, hid : 2 * hid] = d * (h0 - n) * z * (1 - z)
         back = d * z + drh * r + da[t, :, : 2 * hid] @ p["u"][:, : 2 * hid].T
+        if fresh is not None:
+            back[fresh[t]] = 0
         grads["u"][:, : 2 * hid] += h0.T @ da[t, :, : 2 * hid]
         grads["u"][:, 2 * hid :] += rh.T @ dn
     flat, ids = da.reshape(-1, 3 * hid), ids_in.ravel()

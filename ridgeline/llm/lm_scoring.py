@@ -10,8 +10,8 @@
 3. The most frequent tokens get ids of the gated recurrent model; all others
    share one id and divide its probability by their counts.
 4. Every block trains a copy of the model by truncated backpropagation on its
-   training documents (every ``STRIDE``-th window of each, so what is learned
-   from grows with the corpus); copies are averaged by their tokens, in
+   training documents, all windows of each in order, with the state carried
+   from one to the next as in scoring; copies are averaged by their tokens, in
    ``ROUNDS`` rounds.
 5. Each block scores its documents whole, the state carried across windows.
 
@@ -22,6 +22,7 @@ doc_id counts as not held out.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from ridgeline.llm.words import Words, chunks, rows
 from ridgeline.plans.scratch import Scratch
 
 BLOCK_TOKENS = 2_000_000
-STRIDE, ROUNDS, BATCH, RATE, LEAST_STEPS = 16, 2, 128, 5e-3, 150
+ROUNDS, BATCH, RATE, LEAST_STEPS = 2, 128, 5e-3, 150
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 RARE = 0  # the id that rare tokens share
@@ -149,37 +150,45 @@ class Block:
 
 
 def _train(params: gru.Params, block: Block, known: np.ndarray) -> tuple[gru.Params, int]:
-    """params trained on the block: every STRIDE-th window of each training document, the first of them by the document's place."""
+    """params trained on the block: up to BATCH lanes, each a row of training documents that are read from end to end.
+
+    Longest first, a document goes to the lane with the fewest tokens; within
+    a lane the order is random.
+    """
     token = block.model_ids(known)[block.number]
     begin = 1 + int(np.flatnonzero(known == END)[0])
     docs = np.flatnonzero(~block.held)
-    width, span = gru.WINDOW, gru.WINDOW * STRIDE
-    starts = []
-    for d in docs.tolist():
-        a, b = block.at[d], block.at[d + 1]
-        first = a + (d * width) % span
-        starts.append(np.arange(first if first < b else a, b, span))
-    if not starts:
+    if not len(docs):
         return params, 0
-    start = np.concatenate(starts)
-    doc_of = np.repeat(docs, [len(s) for s in starts])
-    place = start[:, None] + np.arange(width)
-    inside = place < block.at[doc_of + 1][:, None]
-    out = np.where(inside, token[np.minimum(place, len(token) - 1)], begin)
-    before = place - 1
-    into = np.where(before >= block.at[doc_of][:, None], token[np.clip(before, 0, len(token) - 1)], begin)
-    into = np.where(before < block.at[doc_of + 1][:, None], into, begin)
     rng = np.random.default_rng(len(token))
+    length = np.diff(block.at)
+    lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(docs)))]
+    shortest = [(0, i) for i in range(len(lanes))]
+    for d in docs[np.argsort(-length[docs], kind="stable")].tolist():
+        held, i = shortest[0]
+        lanes[i].append(d)
+        heapq.heapreplace(shortest, (held + int(length[d]), i))
+    lanes.sort(key=lambda lane: -int(length[lane].sum()))
+    size = np.array([length[lane].sum() for lane in lanes])
+    read = np.concatenate([rng.permutation(lane) for lane in lanes])
+    token = np.concatenate([token[block.at[d] : block.at[d + 1]] for d in read.tolist()])
+    fresh = np.zeros(len(token), bool)
+    fresh[np.cumsum(length[read]) - length[read]] = True
+    before = np.where(fresh, begin, np.roll(token, 1))
+    lane_end = np.cumsum(size)
     adam = gru.Adam(params, RATE)
     steps = 0
     while steps < LEAST_STEPS:
-        order = rng.permutation(len(start))
-        for a in range(0, len(order), BATCH):
-            part = order[a : a + BATCH]
-            _, grads, _ = gru.gradients(params, into[part].T, out[part].T, np.zeros((len(part), gru.HIDDEN), np.float32))
+        state = np.zeros((len(lanes), gru.HIDDEN), np.float32)
+        for a in range(0, int(size[0]), gru.WINDOW):
+            left = int((size > a).sum())  # lanes are sorted by their tokens
+            place = (lane_end - size)[:left] + a + np.arange(gru.WINDOW)[:, None]
+            there = place < lane_end[:left]
+            place = np.minimum(place, len(token) - 1)
+            _, grads, state = gru.gradients(params, before[place], token[place], state[:left], fresh[place], there)
             adam.step(grads)
             steps += 1
-    return params, int(inside.sum())
+    return params, len(token)
 
 
 def _fit(texts: DataFrame, known: np.ndarray, counts: np.ndarray) -> gru.Params:

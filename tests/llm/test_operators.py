@@ -450,6 +450,37 @@ def test_lm_odd_tables(spark, empty):
     assert r.train_tokens == 0 and np.isfinite(r.base_score) and np.isfinite(r.score)
 
 
+def test_training_reads_every_token_with_the_state_of_scoring(monkeypatch):
+    import pyarrow as pa
+
+    from ridgeline.llm import gru
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (700, 1, 300, 0, 90, 15, 16, 17)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, 8)], pa.int64()), "text": texts})
+    found = next(lm_scoring._blocks(4)([batch])).to_pylist()[-1]
+    block = lm_scoring.Block(found["ids"], found["hashes"], found["numbers"])
+    known = np.concatenate([block.hashes[block.hashes != lm_scoring.END], [lm_scoring.END]])
+    monkeypatch.setattr(lm_scoring, "BATCH", 3)
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm_scoring, "RATE", 0.0)
+    seen, real = [], gru.gradients
+
+    def gradients(p, into, out, h, *more):
+        loss, *rest = real(p, into, out, h, *more)
+        n = int(more[1].sum()) if more else out.size
+        seen.append((loss * n, n))
+        return loss, *rest
+
+    monkeypatch.setattr(gru, "gradients", gradients)
+    params = gru.initial(rng.integers(1, 100, gru.IDS))
+    trained = np.repeat(~block.held, np.diff(block.at))
+    assert lm_scoring._train(params, block, known)[1] == trained.sum()
+    assert sum(n for _, n in seen) == trained.sum()
+    scored = gru.text_log_probs(params, block.model_ids(known)[block.number], block.at, len(known))
+    assert np.isclose(sum(x for x, _ in seen), -scored[trained].sum(), rtol=1e-4)
+
+
 def test_state_is_carried_across_windows():
     from ridgeline.llm import gru
 
