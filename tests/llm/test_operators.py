@@ -191,9 +191,10 @@ def brute_nearest(vectors, queries, k=10):
     return out
 
 
-def test_index_recall_and_scores(spark):
+@pytest.mark.parametrize("chunk", [700, 8192])
+def test_index_recall_and_scores(spark, chunk):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    found = permutation_index.nearest_neighbours(table, F.col("vec_id") % 100 == 0).collect()
+    found = permutation_index.nearest_neighbours(table, F.col("vec_id") % 100 == 0, chunk=chunk, query_block=7).collect()
     vectors = [(r.vec_id, np.array(r.embedding, np.float64)) for r in table.collect()]
     want = brute_nearest(vectors, [(i, v) for i, v in vectors if i % 100 == 0])
     got = defaultdict(list)
@@ -207,6 +208,40 @@ def test_index_recall_and_scores(spark):
         assert all(s == pytest.approx(np.linalg.norm(by_id[q] - by_id[i]), rel=1e-12) for s, i in rows)
 
 
+def made_vectors(clusters, n, d=32):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (clusters, d)) if clusters else np.zeros((1, d))
+    return centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.15 if clusters else 1.0, (n, d))
+
+
+@pytest.mark.parametrize(("clusters", "least", "most_reranked"), [(0, 0.95, 0.12), (400, 0.95, 0.12), (3000, 0.95, 0.12)])
+def test_index_recall_where_the_cut_binds(clusters, least, most_reranked):
+    """50,000 vectors in chunks of the production size: recall, and the work of footrule ranking."""
+    vectors = made_vectors(clusters, 50_000)
+    rng = np.random.default_rng(1)
+    points = vectors[rng.choice(len(vectors), permutation_index.PIVOTS, replace=False)]
+    order = permutation_index.orders(vectors, points, permutation_index.PREFIX)
+    asked = rng.choice(len(vectors), 40, replace=False)
+    best, visited, reranked = defaultdict(list), 0, 0
+    for a in range(0, len(vectors), permutation_index.CHUNK):
+        part = np.arange(a, min(a + permutation_index.CHUNK, len(vectors)))
+        which, near, score = permutation_index.search_chunk(part, part, vectors[part], order[part], asked, vectors[asked], order[asked], len(points), 10, permutation_index.CUT)
+        for q, i, s in zip(which, part[near], score, strict=True):
+            best[q].append((s, i))
+        files, most = permutation_index.Postings(order[part], len(points)), int(np.ceil(permutation_index.CUT * len(part))) + 10 * permutation_index.AMPLIFY
+        for q in asked:
+            visited += (files.footrule(order[q]) < files.prefix * (files.prefix + 1)).sum()
+            reranked += len(permutation_index.candidates(files, order[q], np.arange(len(part)), most))
+    hits = 0
+    for q, i in enumerate(asked):
+        apart = np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1))
+        apart[i] = np.inf
+        hits += len({j for _, j in sorted(best[q])[:10]} & set(np.argsort(apart, kind="stable")[:10].tolist()))
+    pairs = len(asked) * len(vectors)
+    print(f"clusters {clusters}: recall {hits / 400:.3f}, visited {visited / pairs:.2f}, reranked {reranked / pairs:.2f}")
+    assert hits / 400 >= least and reranked / pairs <= most_reranked
+
+
 def test_index_odd_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i % 3)]) for i in range(0, 40)] + [(100, [1.0, 0.0]), (200, None), (300, [0.0, 0.0]), (400, [nan, 1.0]), (500, [inf, 1.0]), (600, [None, 1.0]), (700, [1.0]), (None, [1.0, 1.0])]
@@ -215,6 +250,9 @@ def test_index_odd_vectors_and_ties(spark):
     assert {r.query_id for r in found} == {0, 100}
     assert [r.vec_id for r in found if r.query_id == 100] == list(range(0, 30, 3))
     assert permutation_index.nearest_neighbours(table.limit(0), F.lit(True)).count() == 0
+    same = spark.createDataFrame([(100, [1.0, 2.0]), (100, [1.0, 2.0]), (101, [1.0, 2.5])], "vec_id long, embedding array<double>")
+    found = permutation_index.nearest_neighbours(same, F.col("vec_id") % 100 == 0).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == {(100, 1, 100, 0.0): 2, (100, 2, 101, 0.5): 2}
     few = permutation_index.nearest_neighbours(table.where("vec_id in (0, 1, 100)"), F.col("vec_id") % 100 == 0).collect()
     assert Counter(r.query_id for r in few) == {0: 2, 100: 2}
 
