@@ -477,7 +477,8 @@ def test_lm_scores(documents, rows, monkeypatch):
 
 
 def test_lm_is_better_than_unigrams(spark):
-    found = lm_scoring.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    found = lm_scoring.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    print(f"held-out log10 a token: model {found.s / found.n:.4f}, unigrams {found.b / found.n:.4f}")
     assert found.s > found.b
 
 
@@ -488,35 +489,91 @@ def test_lm_odd_tables(spark, empty):
     assert r.train_tokens == 0 and np.isfinite(r.base_score) and np.isfinite(r.score)
 
 
-def test_training_reads_every_token_with_the_state_of_scoring(monkeypatch):
-    import pyarrow as pa
+def test_lm_scores_do_not_depend_on_partitions(spark, documents, rows, monkeypatch):
+    """Whole documents scored one token at a time by a model trained here, with counts in a dictionary, give the query's scores."""
+    from ridgeline.llm import gru
+
+    shards = 3
+    total = sum(len(words(r[1])) + 1 for r in rows if not lm_scoring.is_held_out(r[0]))
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", -(-total // shards))
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score_documents(documents).collect())
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 4000)
+    again = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_scoring.score_documents(documents.repartition(7)).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in again]
+    assert np.allclose([x[2] for x in found], [x[2] for x in again], rtol=1e-5)
+
+    hash_of = lambda text: [*Words([(text or "").encode()], fold=True).hashes().tolist(), int(lm_scoring.END)]
+    held = [lm_scoring.is_held_out(r[0]) for r in rows]
+    texts = [hash_of(r[1]) for r in rows]
+    count = Counter(h for t, out in zip(texts, held, strict=True) if not out for h in t)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    top = sorted((-c, signed(h), h) for h, c in count.items() if h != int(lm_scoring.END))[: lm_scoring.OWN - 1]
+    known = [h for *_, h in sorted([*top, (-count[int(lm_scoring.END)], signed(int(lm_scoring.END)), int(lm_scoring.END))])]
+    place = {h: i for i, h in enumerate(known)}
+    share = lambda h: int(lm_scoring.shared_id(np.array([h], np.uint64))[0])
+    id_of = lambda h: place[h] if h in place else lm_scoring.OWN + share(h)
+    n_of, v_of, mass = Counter(), Counter(), np.zeros(gru.IDS)
+    for h, c in count.items():
+        mass[id_of(h)] += c
+        if h not in place:
+            n_of[share(h)] += c
+            v_of[share(h)] += 1
+    begin = place[int(lm_scoring.END)]
+    sequences = Counter(np.array([id_of(h) for h in t], np.uint16).tobytes() for t, out in zip(texts, held, strict=True) if not out)
+    hashes = {bytes(r.ids): r.h for r in spark.createDataFrame([(x,) for x in sequences], "ids binary").withColumn("h", F.xxhash64("ids")).collect()}
+    dealt = defaultdict(list)
+    for x, n in sequences.items():
+        for i in range(n):
+            dealt[(hashes[x] + i) % shards].append(x)
+    made = []
+    for shard in range(shards):
+        params, n = lm_scoring._train(gru.initial(mass), [np.frombuffer(x, np.uint16) for x in sorted(dealt[shard])], begin, shard)
+        made.append((np.frombuffer(gru.pack(params), np.float32).astype(float), n))
+    params = gru.unpack((sum(x * n for x, n in made) / sum(n for _, n in made)).astype(np.float32).tobytes())
+    table, want = gru.input_table(params), []
+    for r, t in zip(rows, texts, strict=True):
+        h, before, score = np.zeros((1, gru.HIDDEN), np.float32), begin, 0.0
+        for token in t[:400]:
+            _, h = gru.states(params, table, np.array([[before]]), h)
+            before = id_of(token)
+            score += float(gru.log_probs(params, h, np.array([before]))[0])
+            if token not in place:
+                score += np.log((count[token] + 0.1) / (n_of[share(token)] + 0.1 * (v_of[share(token)] + 1)))
+        if len(t) <= 400:
+            want.append((str(r[0]), len(t), score / np.log(10)))
+    short = [x for x in found if x[1] <= 400]
+    assert len(short) > 100 and np.allclose([x[2] for x in short], [x[2] for x in sorted(want)], rtol=1e-3)
 
+
+def test_training_reads_every_token_with_the_state_of_scoring(monkeypatch):
     from ridgeline.llm import gru
 
     rng = np.random.default_rng(4)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (700, 1, 300, 0, 90, 15, 16, 17)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, 8)], pa.int64()), "text": texts})
-    found = next(lm_scoring._blocks(4)([batch])).to_pylist()[-1]
-    block = lm_scoring.Block(found["ids"], found["hashes"], found["numbers"])
-    known = np.concatenate([block.hashes[block.hashes != lm_scoring.END], [lm_scoring.END]])
-    monkeypatch.setattr(lm_scoring, "BATCH", 3)
-    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
+    docs = [rng.integers(0, gru.IDS, n).astype(np.uint16) for n in (701, 2, 301, 1, 91, 16, 17, 18)]
+    monkeypatch.setattr(lm_scoring, "LANE_TOKENS", 100)
     monkeypatch.setattr(lm_scoring, "RATE", 0.0)
-    seen, real = [], gru.gradients
-
-    def gradients(p, into, out, h, *more):
-        loss, *rest = real(p, into, out, h, *more)
-        n = int(more[1].sum()) if more else out.size
-        seen.append((loss * n, n))
-        return loss, *rest
-
-    monkeypatch.setattr(gru, "gradients", gradients)
-    params = gru.initial(rng.integers(1, 100, gru.IDS))
-    trained = np.repeat(~block.held, np.diff(block.at))
-    assert lm_scoring._train(params, block, known)[1] == trained.sum()
-    assert sum(n for _, n in seen) == trained.sum()
-    scored = gru.text_log_probs(params, block.model_ids(known)[block.number], block.at, len(known))
-    assert np.isclose(sum(x for x, _ in seen), -scored[trained].sum(), rtol=1e-4)
+    for least in (1, 200):
+        if least == 1:
+            monkeypatch.setattr(lm_scoring, "LANES", 1)
+        else:
+            monkeypatch.setattr(lm_scoring, "LANES", 8)
+        seen, real = [], gru.gradients
+
+        def gradients(p, into, out, h, *more, real=real, seen=seen):
+            loss, *rest = real(p, into, out, h, *more)
+            n = int(more[1].sum()) if more else out.size
+            seen.append((loss * n, n))
+            return loss, *rest
+
+        monkeypatch.setattr(gru, "gradients", gradients)
+        params = gru.initial(rng.integers(1, 100, gru.IDS))
+        total = sum(map(len, docs))
+        assert lm_scoring._train(params, docs, 7, 1)[1] == total == sum(n for _, n in seen)
+        at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+        scored = gru.text_log_probs(params, np.concatenate(docs).astype(np.int64), at, 7)
+        assert np.isclose(sum(x for x, _ in seen), -scored.sum(), rtol=1e-4)
+        monkeypatch.setattr(gru, "gradients", real)
 
 
 def test_state_is_carried_across_windows():
@@ -528,7 +585,7 @@ def test_state_is_carried_across_windows():
     at = np.array([0, 40, 41, 100])
     batch = gru.text_log_probs(p, ids, at, 1)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        table, h, out = p["emb"] @ p["wx"] + p["b"], np.zeros((1, gru.HIDDEN), np.float32), []
+        table, h, out = gru.input_table(p), np.zeros((1, gru.HIDDEN), np.float32), []
         for before, now in zip([1, *ids[a : b - 1]], ids[a:b], strict=True):
             _, h = gru.states(p, table, np.array([[before]]), h)
             out.append(gru.log_probs(p, h, np.array([now]))[0])
