@@ -8,7 +8,9 @@ only the columns that it uses).
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,10 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only if unset."""
+    """The shared folder the session names.
+
+    Only a local session, whose tasks all run on this machine, gets a temporary
+    one if it names none; it goes when the process ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is not set; executors under {master} need a folder that all of them see")
+        path = tempfile.mkdtemp(prefix="ridgeline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = "file://" + path
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
