@@ -14,16 +14,22 @@ copies of a few of its documents, found greedily by size.
 
 All is DataFrame expressions.  Aggregates are pre-aggregated, so a source that
 holds a third of all rows costs no single task more than another; what is
-broadcast, if anything, is left to Spark's own size checks.
+broadcast, if anything, is left to Spark's own size checks.  The sources
+themselves may be many (hosts, say): they are ranked by a range-partitioned
+sort and share their targets by aggregation, without a window over all of them.
 
 Documents whose text is null or has no word have size zero, rate one and take
-nothing.  Rows that repeat a doc_id are decided alike.
+nothing; so does a source of such documents only.  Rounding goes by a hash of
+doc_id, source and text, so rows without a doc_id round each for itself; rows
+alike in all three are decided alike, and the correction counts them together.
+A doc_id may occur in several sources.  A text of any length counts whole.  An
+empty table gives no rows.  ``mixed_documents`` keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.plans.scratch import Scratch
@@ -33,7 +39,8 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 #: Relative error of the token constraints at which the dual counts as solved.
 TOLERANCE = 1e-6
-STEPS = 60
+#: Guarded steps at most; brackets halve, so far fewer are needed, and more are an error.
+STEPS = 200
 #: Documents a source and octave of sizes that the correction may choose from.
 CANDIDATES = 8
 
@@ -45,27 +52,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(flat, " "), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources plus rank, from 0 in the order of source, nulls last."""
+    place = F.monotonically_increasing_id()  # the partition of the sorted table, and the place in it
+    at = scratch.keep(sources.orderBy(F.col("source").asc_nulls_last()).select("*", place.alias("at")))
+    # One row for each partition of the sort.
+    sizes = at.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()
+    before, total = [], 0
+    for r in sizes:
+        before += [F.lit(r["part"]), F.lit(total)]
+        total += r["count"]
+    if not before:
+        return at.select(*sources.columns, F.lit(0).cast("long").alias("rank"))
+    offset = F.create_map(*before)[F.shiftright("at", 33)]
+    return at.select(*sources.columns, (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + offset).alias("rank"))
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """sources: (source, source_size).  Adds weight and target.
 
     The whole size is shared by weight.  A source stops at limit times its own
-    size and its excess goes to the others by weight.  Ordered by
-    ``limit * size / weight`` the stopped sources are a prefix, so running sums
-    give the level at which the rest share what is left.
+    size and its excess goes to the others by weight: with ``level`` the share
+    of a unit of weight, a source gets the lesser of ``weight * level`` and its
+    stop.  Every round takes the sources that stop at the level found so far
+    out and shares what is left; stopped sources stay stopped, so rounds end.
     """
-    ranked = sources.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     choose = F.array(*map(F.lit, weights))
-    sized = ranked.withColumn("weight", F.element_at(choose, (F.col("rank") % len(weights) + 1).cast("int")).cast("double")).withColumn("stop", F.lit(float(limit)) * F.col("source_size"))
-    by_level = W.orderBy(F.col("stop") / F.col("weight"), "rank")
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = sized.withColumn("level", left / weight_left).withColumn("free", F.col("level") <= F.col("stop") / F.col("weight"))
-    # The first source that doesn't stop fixes the level for itself and all after it.
-    first = F.min(F.when(F.col("free"), F.struct(F.col("stop") / F.col("weight"), "rank", "level"))).over(everything)
-    shared = levels.withColumn("shared", first["level"])
-    return shared.select("source", "source_size", "weight", F.coalesce(F.least(F.col("stop"), F.col("weight") * F.col("shared")), F.col("stop")).alias("target"))
+    sized = scratch.keep(
+        _ranked(sources, scratch).select("source", "source_size", F.element_at(choose, (F.col("rank") % len(weights) + 1).cast("int")).cast("double").alias("weight"), (F.lit(float(limit)) * F.col("source_size")).alias("stop"))
+    )
+    total = float(sized.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("stop")
+        weight, gone, n = sized.agg(F.sum(F.when(~over, F.col("weight"))), F.sum(F.when(over, F.col("stop"))), F.count_if(over)).first()
+        if n == stopped or not weight:
+            break
+        level, stopped = (total - (gone or 0.0)) / weight, n
+    return sized.select("source", "source_size", "weight", F.least(F.col("stop"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _rate(lam: Column, x: Column, limit: int) -> Column:
@@ -110,34 +134,37 @@ def solve(sizes: DataFrame, wanted: DataFrame, scratch: Scratch, limit: int = LI
         scratch.drop(state)
         state = new
         if not state.where("not done").limit(1).count():
-            break
-    return state.select("source", "source_size", "target", "scale", "lam")
+            return state.select("source", "source_size", "target", "scale", "lam")
+    raise RuntimeError(f"multipliers did not settle in {STEPS} steps")
 
 
 def _corrections(copies: DataFrame, solved: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
-    """(doc_id, step): documents that take one copy more or less so that sources meet their targets.
+    """(hash, step): documents that take one copy more or less so that sources meet their targets.
 
     A source picks greedily, from the largest size down, among a bounded number
-    of documents in each octave of sizes.
+    of documents in each octave of sizes; rows with one hash count together.
+    Rounding errors grow with the square root of a source's documents, so what
+    the bound leaves is an ever smaller share of the target.
     """
+    rows = copies.where("size > 0").groupBy("source", "hash").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("copies").alias("copies"))
     taken = copies.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
     gap = scratch.keep(solved.alias("s").join(taken.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", (F.col("s.target") - F.col("t.taken")).alias("gap")))
-    known = copies.alias("c").join(gap.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "g.gap")
-    able = known.where("size > 0 and doc_id is not null").where(((F.col("gap") > 0) & (F.col("copies") < limit)) | ((F.col("gap") < 0) & (F.col("copies") > 0)))
-    octave = F.floor(F.log2(F.col("size").cast("double")))
-    some = able.groupBy("source", "gap", octave.alias("octave"), F.pmod(F.col("hash"), F.lit(CANDIDATES)).alias("slot")).agg(F.min(F.struct("hash", "doc_id", "size")).alias("c"))
-    lists = some.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("order"), F.col("c.doc_id").alias("doc_id"), F.col("c.size").alias("size")))).alias("all"))
+    known = rows.alias("c").join(gap.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "g.gap")
+    able = known.where(((F.col("gap") > 0) & (F.col("copies") < limit)) | ((F.col("gap") < 0) & (F.col("copies") > 0))).withColumn("mass", F.col("size") * F.col("n"))
+    octave = F.floor(F.log2(F.col("mass").cast("double")))
+    some = able.groupBy("source", "gap", octave.alias("octave"), F.pmod(F.col("hash"), F.lit(CANDIDATES)).alias("slot")).agg(F.min(F.struct("hash", "mass")).alias("c"))
+    lists = some.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("c.mass")).alias("order"), F.col("c.hash").alias("hash"), F.col("c.mass").alias("size")))).alias("all"))
     begin = F.struct(F.abs("gap").alias("left"), F.array().cast("array<bigint>").alias("chosen"))
 
     def exact(acc: Column, c: Column) -> Column:
-        return F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c["doc_id"])).alias("chosen"))).otherwise(acc)
+        return F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["chosen"], F.array(c["hash"])).alias("chosen"))).otherwise(acc)
 
-    picked = lists.select(F.signum("gap").cast("int").alias("step"), F.explode(F.aggregate("all", begin, exact, lambda acc: acc["chosen"])).alias("doc_id"))
-    return scratch.keep(picked.groupBy("doc_id").agg(F.first("step").alias("step")))
+    return scratch.keep(lists.select(F.signum("gap").cast("int").alias("step"), F.explode(F.aggregate("all", begin, exact, lambda acc: acc["chosen"])).alias("hash")))
 
 
 def _hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("mix"))
+    """A row's own number: rows alike in doc_id, source and text share it."""
+    return F.xxhash64("doc_id", "source", "text", F.lit("mix"))
 
 
 def _copies(size: Column, hashed: Column, limit: int) -> Column:
@@ -147,8 +174,8 @@ def _copies(size: Column, hashed: Column, limit: int) -> Column:
     return F.least(F.floor(rate + chance), F.lit(limit)).cast("long")
 
 
-def _corrected(limit: int) -> Column:
-    return F.least(F.greatest(F.col("copies") + F.coalesce("step", F.lit(0)), F.lit(0)), F.lit(limit)).cast("long")
+def _corrected(copies: Column, step: Column, limit: int) -> Column:
+    return F.least(F.greatest(copies + F.coalesce(step, F.lit(0)), F.lit(0)), F.lit(limit))
 
 
 def _decide(documents: DataFrame, weights: tuple[int, ...], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -156,7 +183,7 @@ def _decide(documents: DataFrame, weights: tuple[int, ...], limit: int) -> tuple
     scratch = Scratch(documents.sparkSession, "mixing")
     docs = scratch.keep(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash().alias("hash")))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wanted = scratch.keep(targets(sources, weights, limit))
+    wanted = scratch.keep(targets(sources, scratch, weights, limit))
     sizes = scratch.keep(docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve(sizes, wanted, scratch, limit)
     rated = docs.alias("d").join(solved.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.lam", "s.scale")
@@ -167,7 +194,7 @@ def _decide(documents: DataFrame, weights: tuple[int, ...], limit: int) -> tuple
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of documents."""
     copied, _, moved = _decide(documents, weights, limit)
-    final = copied.join(moved, "doc_id", "left").withColumn("copies", _corrected(limit))
+    final = copied.join(moved, "hash", "left").withColumn("copies", _corrected(F.col("copies"), F.col("step"), limit).cast("long"))
     return final.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -178,10 +205,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, li
     and the corrections, so texts meet only those two small tables.
     """
     _, solved, moved = _decide(documents, weights, limit)
-    by_source = F.col("d.source").eqNullSafe(F.col("s.source"))
-    rated = documents.alias("d").join(solved.select("source", "target", "lam", "scale").alias("s"), by_source).join(moved.alias("m"), F.col("d.doc_id") == F.col("m.doc_id"), "left")
-    own = [F.col(f"d.`{c}`").alias(c) for c in documents.columns]
-    size, hashed = word_count(F.col("d.text")), F.xxhash64(F.coalesce(F.col("d.doc_id"), F.lit(-1)), F.lit("mix"))
-    counted = rated.select(*own, _copies(size, hashed, limit).alias("_copies"), F.col("m.step").alias("_step"))
-    corrected = F.least(F.greatest(F.col("_copies") + F.coalesce("_step", F.lit(0)), F.lit(0)), F.lit(limit)).cast("int")
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), corrected))).select(*documents.columns)
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "source", word_count(F.col("text")).alias("size"), _hash().alias("hash"))
+    rated = whole.alias("d").join(solved.select("source", "target", "lam", "scale").alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.target", "s.lam", "s.scale").join(moved, "hash", "left")
+    copies = _corrected(_copies(F.col("size"), F.col("hash"), limit), F.col("step"), limit).cast("int")
+    return rated.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")

@@ -14,7 +14,10 @@ temperature that calibrates its probabilities.  Words fall into ``WORDS`` and
 shapes into ``SHAPES`` hashed rows, so the model's size is fixed.
 
 Neither labels, lang, source nor doc_id enter a score.  Null and empty texts
-are the zero vector.  With labels of one kind only, every score is that label;
+are the zero vector.  Repeated rows are scored alike; of labelled rows that
+share a doc_id one is learned from.  A text of any length is pooled whole.  An
+empty table gives no rows.  ``keep_good`` keeps all columns, whatever their
+names.  With labels of one kind only, every score is that label;
 without any, every score is a half.
 """
 
@@ -29,16 +32,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ridgeline.llm.words import SEPARATOR, Words, chunks, mix, per_doc, rows
+from ridgeline.llm.words import SEPARATOR, Words, chunks, mix, new_name, one_a_document, rows
+from ridgeline.plans.scratch import Scratch
 
 DIMENSION, NONZERO = 64, 2
 WORDS, SHAPES = 2048, 512
 UNITS = WORDS + SHAPES
 FIT_ROWS, HIDDEN, EPOCHS, BATCH, SEED = 8_000, 32, 40, 256, 5
 FEATURES = 3 * DIMENSION
-#: Documents that are pooled at a time.
-POOL = 1024
+#: Documents that are pooled at a time, and sums that are added at a time.
+POOL, FAN_IN = 1024, 16
 
 _CLASS = np.full(256, 3, np.int64)  # other ASCII marks
 for _i, _codes in enumerate((range(97, 123), range(65, 91), range(48, 58))):
@@ -103,24 +108,32 @@ def context_sums(words: Words, out: np.ndarray) -> None:
 
 def context_vectors(documents: DataFrame) -> np.ndarray:
     """Context vectors of all units over all documents, as unit vectors."""
-    schema = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema([("slot", pa.int64()), ("sums", pa.binary())])
+    ddl = "slot long, sums binary"
+    scratch = Scratch(documents.sparkSession, "context")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(UNITS * DIMENSION)
         for _, texts in chunks(batches):
             context_sums(Words(texts), out)
-        slot = TaskContext.get().partitionId() % 16 if TaskContext.get() else 0
+        slot = TaskContext.get().partitionId() if TaskContext.get() else 0
         yield rows(schema, [slot], [zstandard.compress(out.astype(np.int64).tobytes(), 1)])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in table["sums"].to_pylist())
-        return pa.Table.from_batches([rows(schema, table["slot"].to_pylist()[:1], [zstandard.compress(total.tobytes(), 1)])])
-
-    # At most 16 rows of fixed size reach the driver.
-    sums = documents.select("doc_id", "text").mapInArrow(gather, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary").toArrow()
+        return pa.Table.from_batches([rows(schema, [table["slot"][0].as_py() // FAN_IN], [zstandard.compress(total.tobytes(), 1)])])
+
+    # A row of fixed size for each partition, added up in a tree of bounded fan-in; one row reaches the driver.
+    sums = scratch.keep(documents.select("doc_id", "text").mapInArrow(gather, ddl))
+    left = (sums.agg(F.max("slot")).first()[0] or 0) + 1
+    while True:
+        sums = sums.withColumn("to", F.floor(F.col("slot") / FAN_IN)).groupBy("to").applyInArrow(add, ddl)
+        left = -(-left // FAN_IN)
+        if left == 1:
+            break
     total = np.zeros(UNITS * DIMENSION, np.int64)
-    for x in sums["sums"].to_pylist():
-        total += np.frombuffer(zstandard.decompress(x), np.int64)
+    for r in sums.collect():
+        total += np.frombuffer(zstandard.decompress(bytes(r["sums"])), np.int64)
     vectors = total.reshape(UNITS, DIMENSION).astype(np.float64)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(norm == 0, 1, norm)).astype(np.float32)
@@ -205,15 +218,15 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     chosen = may.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit("classifier")), "doc_id").limit(fit_rows)
     vectors = context_vectors(documents)
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
-    schema = pa.schema([("good", pa.bool_()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("good", pa.bool_()), ("x", pa.list_(pa.float64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            yield rows(schema, part.column(2), list(pooled(Words(texts), shared.value)))
+            yield rows(schema, part.column(0), part.column(2), list(pooled(Words(texts), shared.value)))
 
     # At most fit_rows ids of 16 bytes each: a bounded broadcast.
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("quality") == 1).alias("good"))
-    sample = texts.mapInArrow(work, "good boolean, x array<double>").toArrow()
+    sample = one_a_document(texts.mapInArrow(work, "doc_id long, good boolean, x array<double>")).toArrow()
     y = sample["good"].to_numpy()
     if not len(y):
         return 0.5
@@ -224,11 +237,10 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     return train(x[order], y[order].astype(np.float64), vectors)
 
 
-def score_with(model: Model | float, documents: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id and score of each document; with whole, all its columns and the score."""
+def score_with(model: Model | float, documents: DataFrame, whole: bool = False, column: str = "score") -> DataFrame:
+    """doc_id and score of each document, the score in the named column; with whole, all its columns and the score."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = documents.schema if whole else documents.select("doc_id").schema
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -236,18 +248,19 @@ def score_with(model: Model | float, documents: DataFrame, whole: bool = False)
             score = np.full(len(texts), model) if isinstance(model, float) else model.scores(pooled(Words(texts), model.vectors))
             columns = part.columns if whole else part.columns[:1]
             names = part.schema.names if whole else part.schema.names[:1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*names, column])
 
     rows_in = documents if whole else documents.select("doc_id", "text")
-    return rows_in.mapInArrow(work, ", ".join([*fields, "_score double"]))
+    return rows_in.mapInArrow(work, StructType([*schema.fields, StructField(column, DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     scored = score_with(fit(documents, labels), documents)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents less those that the classifier rejects."""
-    return score_with(fit(documents, labels), documents, whole=True).where("_score >= 0.5").drop("_score")
+    column = new_name(documents, "score")
+    return score_with(fit(documents, labels), documents, whole=True, column=column).where(F.col(column) >= 0.5).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -9,8 +9,10 @@ expression itself then verifies whole candidate texts.  A rule that has no
 mandatory trigram (a bare character class, say) scans every text.
 
 The index folds A-Z to lower case, so one index serves rules in either case.
-Texts are never cut; null is an empty text and has no span.  The operator is a
-map over rows: duplicate rows, ties and extra columns pass through unchanged.
+Texts are never cut, however long; null is an empty text and has no span.  The
+operator is a map over rows: an empty table gives no rows, repeated rows are
+scanned alike, extra columns play no part (``redact`` keeps them, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -159,8 +161,9 @@ def _code(trigram: bytes) -> int:
 class Index:
     """Postings, over the texts of one chunk, of the trigrams that are asked for."""
 
-    def __init__(self, texts: list[bytes], wanted: np.ndarray, slot: np.ndarray):
-        self.n = len(texts)
+    def __init__(self, texts: list[bytes], wanted: np.ndarray, asked: np.ndarray):
+        """asked: the codes of the trigrams, ascending; wanted: a mask of them over all codes."""
+        self.n, self.asked = len(texts), asked
         buf = LOWER[np.frombuffer(b"\0\0".join(texts) + b"\0\0", np.uint8)]
         at = np.zeros(self.n + 1, np.int64)
         np.cumsum(np.fromiter((len(t) + 2 for t in texts), np.int64, self.n), out=at[1:])
@@ -168,15 +171,14 @@ class Index:
         codes = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
         hits = np.flatnonzero(wanted[codes])
         docs = np.searchsorted(at, hits, "right") - 1
-        pairs = np.unique(slot[codes[hits]].astype(np.int64) * self.n + docs)
+        pairs = np.unique(np.searchsorted(asked, codes[hits]) * self.n + docs)
         self.postings = {int(k): pairs[pairs // self.n == k] % self.n for k in np.unique(pairs // max(self.n, 1))} if len(pairs) else {}
-        self.slot = slot
 
     def find(self, query: Query) -> np.ndarray:
         if query is True:
             return np.arange(self.n)
         if isinstance(query, bytes):
-            return self.postings.get(int(self.slot[_code(query)]), np.zeros(0, np.int64))
+            return self.postings.get(int(np.searchsorted(self.asked, _code(query))), np.zeros(0, np.int64))
         op, parts = query
         found = self.find(parts[0])
         for part in parts[1:]:
@@ -192,17 +194,15 @@ class Scanner:
         self.queries = [trigram_query(r.pattern) for r in rules]
         self.patterns = [re.compile(r.pattern) for r in rules]
         self.wanted = np.zeros(1 << 24, bool)
-        self.slot = np.zeros(1 << 24, np.int32)
-        for i, t in enumerate(sorted(set().union(*map(_trigrams, self.queries)))):
-            self.wanted[_code(t)] = True
-            self.slot[_code(t)] = i
+        self.asked = np.array(sorted(map(_code, set().union(*map(_trigrams, self.queries)))), np.int64)
+        self.wanted[self.asked] = True
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """Per text its spans (start, rule, end) in code points, in order."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not texts:
             return out
-        index = Index(texts, self.wanted, self.slot)
+        index = Index(texts, self.wanted, self.asked)
         decoded: dict[int, str] = {}
         for k, (rule, query, pattern) in enumerate(zip(self.rules, self.queries, self.patterns, strict=True)):
             for i in index.find(query).tolist():

@@ -16,8 +16,11 @@ fingerprints are within two bits exactly if they share such a file, so linking
 each file to its least member gives the same components with a number of links
 that is linear in the members.
 
-Null and empty texts have fingerprint zero and link like any other.  A null
-doc_id is never a component's id unless the component has no other.
+A text of any length has one fingerprint.  Null and empty texts have
+fingerprint zero and link like any other.  A null doc_id is never a
+component's id unless the component has no other.  Repeated rows are all
+returned, in one component.  An empty table gives no rows; columns other than
+doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -118,13 +121,3 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, hot: int = HOT) -> D
     resolved = scratch.keep(placed.join(named, "component").select("fp", "component_id"))
     return docs.join(resolved, "fp").select("doc_id", "fp", "component_id")
 
-
-def keep_one(documents: DataFrame) -> DataFrame:
-    """documents less every row whose component has a smaller doc_id; of rows with one doc_id one stays.
-
-    A row without a doc_id can't be named as anyone's copy and stays.
-    """
-    found = near_duplicates(documents.where("doc_id is not null"))
-    kept = Scratch(documents.sparkSession, "keep-one").keep(found.where("doc_id = component_id").select("doc_id").distinct())
-    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
-    return named.union(documents.where("doc_id is null"))

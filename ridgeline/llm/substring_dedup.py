@@ -1,7 +1,8 @@
 """Removal of passages that repeat, by Rabin-Karp hashes of all word windows.
 
 1. Each task hashes every window of ``width`` words of its documents and deals
-   the hashes out to buckets by their leading bits.  A hash that repeats within
+   the hashes out to buckets by their leading bits, as many buckets as the
+   texts' bytes ask for (``BUCKET_BYTES``).  A hash that repeats within
    the task goes out once, so a passage that fills a third of the corpus costs
    one entry a task; buckets stay even because the hashes are uniform.
 2. A bucket counts equal hashes over all tasks and returns, to each task's
@@ -12,9 +13,12 @@
 Entries travel as packed arrays, nine bytes a window (the hash and the gap to
 the block's previous window in that bucket); no row is made per window.
 
-Hashes are 64 bits of a random polynomial, so two different windows count as
-equal with odds of about 2**-56; nothing else is approximate.  Null texts have
-no words.  Repeated rows are copies like any other (all their windows repeat).
+Hashes have 64 bits and a fixed base, so two different windows count as equal
+with odds of about 2**-56 on texts that weren't written to collide; against
+such texts there is no guarantee.  Nothing else is approximate.  Null and empty
+texts have no words.  Repeated rows are copies like any other (all their
+windows repeat), also where doc_ids are null.  A text of any length is read
+whole; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ from ridgeline.plans.scratch import Scratch
 WIDTH = 35
 #: Windows that a task gathers before it deals them out.
 BLOCK_WINDOWS = 3_000_000
+#: Text bytes for each bucket of window hashes; about as many bytes of entries.
+BUCKET_BYTES = 1 << 24
+#: Text bytes for each partition of blocks, whose entries are but the repeated windows.
+BLOCK_BYTES = 1 << 26
 _DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("meta", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _DEALT_DDL = "bucket int, block long, meta boolean, a binary, b binary, c binary"
 _FOUND = pa.schema([("block", pa.int64()), ("meta", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -180,10 +188,12 @@ def _merge(width: int):
 
 def repeated_spans(documents: DataFrame, scratch: Scratch, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """(doc_id, text_hash, starts, ends) of each text that has words in a repeated window."""
-    buckets = buckets or max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(1, -(-n_bytes // BUCKET_BYTES))
+    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    dealt = keyed.mapInArrow(_deal(width, buckets), _DEALT_DDL)
-    found = dealt.groupBy("bucket").applyInArrow(_count, _FOUND_DDL)
+    dealt = keyed.mapInArrow(_deal(width, buckets), _DEALT_DDL).repartition(buckets, "bucket")
+    found = dealt.groupBy("bucket").applyInArrow(_count, _FOUND_DDL).repartition(blocks, "block")
     spans = found.groupBy("block").applyInArrow(_merge(width), _SPANS_DDL)
     # The intervals follow from the text alone, so repeated rows share them.
     return scratch.keep(spans.groupBy("doc_id", "text_hash").agg(F.min(F.struct("starts", "ends")).alias("s")).select("doc_id", "text_hash", "s.starts", "s.ends"))

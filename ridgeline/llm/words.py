@@ -20,6 +20,8 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -197,3 +199,17 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of arrays, numpy arrays or lists in the order of schema."""
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def new_name(table: DataFrame, name: str) -> str:
+    """name, with underscores in front until table has no such column (in whatever case)."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def one_a_document(sample: DataFrame) -> DataFrame:
+    """sample (doc_id and others) with one row, the least, for each doc_id, and without it."""
+    others = [c for c in sample.columns if c != "doc_id"]
+    return sample.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("row.*")

@@ -103,32 +103,27 @@ def test_components_of_a_chain(spark):
     assert len(found) == n and {r.component for r in found} == {0}
 
 
-def test_keep_one(documents, rows):
-    kept = simhash_dedup.keep_one(documents)
-    assert kept.columns == documents.columns
-    found = simhash_dedup.near_duplicates(documents.where("doc_id is not null")).collect()
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.component_id for r in found})
-
-
 def brute_near_groups(rows):
-    """The least doc_id of each group of texts that a Jaccard similarity of 0.8 of five-word shingles links."""
-    sets = {}
-    for doc, text, *_ in rows:
-        w = words(fold(text))
-        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
-    root = {d: d for d in sets}
+    """The rows (doc_id, text) that stay: of each group that a Jaccard similarity of 0.8 of five-word shingles links, the one with the least doc_id, nulls last."""
+    sets = []
+    for r in rows:
+        w = words(fold(r[1]))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    root = list(range(len(rows)))
 
     def top(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    for a in sets:
-        for b in sets:
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                low, high = sorted((top(a), top(b)))
-                root[high] = low
-    return {top(d) for d in sets}
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[top(i)].append(rows[i])
+    return groups
 
 
 @pytest.mark.parametrize("hot", [32, 2])
@@ -146,11 +141,22 @@ def test_near_dedup_stage_equals_brute_jaccard_groups(spark, hot, monkeypatch):
             made.append(" ".join(text))
     made += ["One two three", "one TWO three", "one two four", "", None, " "]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(made)]
-    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    # One doc_id for different texts, repeated rows, and copies without a doc_id, with and without one that has it.
+    rows += [(3, "quite another text of eight words in all", "en", "s", 0), rows[40], rows[40], (None, made[7], "en", "s", 0), (None, "nobody knows my id at all here", "en", "s", 0), (None, "nobody knows my id at all here", "fr", "s", 0), (9000, "once more the same", "en", "s", 0), (9000, "once more the same", "en", "s", 0)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n", F.lit(1)).withColumn("component", F.lit("clash")).repartition(3)
     monkeypatch.setattr(near_copies.keep_one, "__defaults__", (hot,))
     kept = corpus_pipeline.near_dedup_stage(spark, documents, "")
     assert kept.columns == documents.columns
-    assert {r.doc_id for r in kept.collect()} == brute_near_groups(rows)
+    groups = brute_near_groups(rows)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = []
+    for g in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in g)
+        options = {(r[0], r[1]) for r in g if (r[0] is None, r[0] or 0) == least}
+        own = [x for x in got if x in options]
+        assert len(own) == 1, (options, own)
+        want += own
+    assert len(got) == len(want)
 
 
 # 2 -------------------------------------------------------------------------
@@ -177,7 +183,35 @@ def test_classifier_without_labels(documents, labels, empty):
     assert {r.score for r in quality_classifier.classify(documents, labels.limit(0)).collect()} == {0.5}
     assert {r.score for r in quality_classifier.classify(documents, labels.where("quality = 1")).collect()} == {1.0}
     assert quality_classifier.classify(empty, labels).count() == 0
-    assert quality_classifier.keep_good(documents.withColumn("_rank", F.lit(1)), labels).columns == [*documents.columns, "_rank"]
+    more = documents.withColumn("score", F.lit("x")).withColumn("_score", F.lit(1))
+    assert quality_classifier.keep_good(more, labels).columns == more.columns
+    odd = labels.union(labels.where("doc_id = 10")).union(labels.where("doc_id = 10").withColumn("quality", F.lit(None).cast("int")))
+    assert quality_classifier.classify(documents, odd).count() == documents.count()
+
+
+def test_context_sums_and_pooling_equal_brute_force(spark, documents, rows):
+    """Context vectors by counting neighbours, and pooled vectors by means over words."""
+    vectors = quality_classifier.context_vectors(documents)
+    index = np.zeros((quality_classifier.UNITS, quality_classifier.DIMENSION))
+    for unit in range(quality_classifier.UNITS):
+        for k in range(quality_classifier.NONZERO):
+            index[unit, quality_classifier.PLACES[unit, k]] += quality_classifier.SIGNS[unit, k]
+    total = np.zeros_like(index)
+    for r in rows:
+        word, shape, _ = quality_classifier.units(Words([(r[1] or "").encode()]))
+        for i in range(len(word)):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(word):
+                    for unit in (word[i], shape[i]):
+                        total[unit] += index[word[j]] + index[shape[j]]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    assert np.allclose(vectors, total / np.where(norm == 0, 1, norm), atol=1e-6)
+    texts = [(r[1] or "").encode() for r in rows[:30]]
+    got = quality_classifier.pooled(Words(texts), vectors)
+    for i, t in enumerate(texts):
+        word, shape, pair = quality_classifier.units(Words([t]))
+        want = np.concatenate([vectors[word].sum(axis=0), vectors[shape].sum(axis=0), quality_classifier.SHAPE_INDEX[pair].sum(axis=0)]) / max(len(word), 1)
+        assert np.allclose(got[i], want, atol=1e-4)
 
 
 # 3 -------------------------------------------------------------------------
@@ -373,6 +407,17 @@ def test_shards_of_rows_that_share_an_id(spark):
     assert len(found) == 50 and max(size.values()) <= 1000
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(7, "x" * 100, i) for i in range(50)] + [(None, "y" * 100, i) for i in range(50)] + [(i, None, i) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(4)
+    sharding.write_shards(docs, str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.place) for r in back.collect()) == Counter(rows)
+    assert max(r.n for r in back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).collect() if r.n) <= 1000
+    with pytest.raises(ValueError, match="another"):
+        sharding.write_shards(docs.withColumn("shard", F.lit(1)), str(tmp_path / "no"), 1000)
+
+
 # 7 -------------------------------------------------------------------------
 
 
@@ -446,9 +491,12 @@ def test_rule_statistics(documents, rows, labels):
 
 
 def test_rules_keep_clean_rows_and_catch_junk(spark):
+    """On labelled rows that took no part in the fit."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    found = {r.quality: r.kept for r in quality_rules.quality_rules(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    judged = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").where("not base_failed").where(quality_rules.held_out(F.col("doc_id")))
+    found = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    print("held-out rows kept, by quality:", found)
     assert found[1] > 0.99 and found[0] < 0.1
 
 
@@ -663,12 +711,63 @@ def test_mixing_of_nothing(empty):
 
 
 def test_mixed_documents_repeat_rows(documents):
-    copies = {r.doc_id: r.copies for r in mixing.mix(documents).collect()}
-    out = Counter(r.doc_id for r in mixing.mixed_documents(documents).collect())
-    twice = Counter(r.doc_id for r in documents.collect())
+    copies = {(r.doc_id, r.source, r.size): r.copies for r in mixing.mix(documents).collect()}
+    more = documents.withColumn("hash", F.lit("clash")).withColumn("size", F.lit(1)).withColumn("_copies", F.lit(2)).withColumn("row", F.lit(3))
+    mixed = mixing.mixed_documents(more)
+    assert mixed.columns == more.columns
+    out = Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.collect())
+    twice = Counter((r.doc_id, r.source, len(words(r.text))) for r in documents.collect())
     assert out == Counter({d: n * twice[d] for d, n in copies.items() if n})
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    """A doc_id in two sources with opposite gaps, and rows without one that make up most of a source."""
+    rng = np.random.default_rng(2)
+    rows = [(1, " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(1, 60))), s) for s in "ab" for _ in range(200)]
+    rows += [(None, " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(1, 60))), "c") for _ in range(300)] + [(5, "same text", "c")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found, size = mixing.mix(docs).collect(), Counter()
+    for _, text, s in rows:
+        size[s] += len(words(text))
+    target, taken = brute_targets(size), Counter()
+    for r in found:
+        taken[r.source] += r.taken
+    assert len(found) == len(rows) and all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 2 for s in size)
+    assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_mixing_of_many_sources(spark):
+    """Targets against brute force for more sources than partitions, in the order of code points."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{chr(int(c))}") for i, (n, c) in enumerate(zip(rng.integers(0, 40, 400), rng.integers(0x41, 0x2FF, 400), strict=True))] + [(1000, "a b c", None)]
+    size = Counter()
+    for _, text, s in rows:
+        size[s] += len(words(text))
+    want = brute_targets(size)
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "target").distinct().collect()
+    assert len(found) == len(want) and all(r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-9) for r in found)
+
+
+def test_multipliers_equal_a_root_finder(spark, documents):
+    """Each source's multiplier against bisection on the constraint itself."""
+    scratch = Scratch(spark, "t")
+    sized = documents.select("source", mixing.word_count(F.col("text")).alias("size")).where("size > 0")
+    sizes = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    wanted = mixing.targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)
+    held = defaultdict(list)
+    for r in sizes.collect():
+        held[r.source].append((r["size"], r.n))
+    for r in mixing.solve(sizes, wanted, scratch).collect():
+        total = lambda lam, r=r: sum(s * n * min(3.0, np.exp(min(50.0, lam * s / r.scale))) for s, n in held[r.source])
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if total(middle) > r.target else (middle, high)
+        assert total(r.lam) == pytest.approx(r.target, rel=2e-6)
+        if r.target < 2.999 * sum(s * n for s, n in held[r.source]):
+            assert r.lam == pytest.approx((low + high) / 2, rel=1e-3, abs=1e-5)
+
+
 def test_long_texts_are_one_chunk(spark):
     text = "word%d " * 3 % (1, 2, 3) + "x" * (CHUNK_BYTES + 10)
     docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "a b c", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
