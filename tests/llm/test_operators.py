@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ridgeline.llm import lm_scoring, mixing, near_copies, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
+from ridgeline.llm import lm_scoring, mixing, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.queries import tokenizer_path
 from ridgeline.llm.words import CHUNK_BYTES, Words
@@ -126,8 +126,7 @@ def brute_near_groups(rows):
     return groups
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_near_dedup_stage_equals_brute_jaccard_groups(spark, hot, monkeypatch):
+def test_near_dedup_stage_equals_brute_jaccard_groups(spark):
     import corpus_pipeline
 
     rng = np.random.default_rng(5)
@@ -139,12 +138,17 @@ def test_near_dedup_stage_equals_brute_jaccard_groups(spark, hot, monkeypatch):
             for place in rng.choice(120, copy, replace=False):
                 text[place] = f"x{rng.integers(0, 9999)}"
             made.append(" ".join(text))
+    # A cluster around one text that few of its members resemble each other in, and texts with a long passage in common.
+    centre = [f"c{x}" for x in range(300)]
+    for copy in range(40):
+        made.append(" ".join(f"y{copy}" if i in set(rng.choice(300, 9, replace=False)) else w for i, w in enumerate(centre)))
+    made.append(" ".join(centre))
+    made += [" ".join(centre[:100]) + " " + " ".join(f"z{x}" for x in rng.integers(0, 9999, 40)) for _ in range(40)]
     made += ["One two three", "one TWO three", "one two four", "", None, " "]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(made)]
     # One doc_id for different texts, repeated rows, and copies without a doc_id, with and without one that has it.
     rows += [(3, "quite another text of eight words in all", "en", "s", 0), rows[40], rows[40], (None, made[7], "en", "s", 0), (None, "nobody knows my id at all here", "en", "s", 0), (None, "nobody knows my id at all here", "fr", "s", 0), (9000, "once more the same", "en", "s", 0), (9000, "once more the same", "en", "s", 0)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n", F.lit(1)).withColumn("component", F.lit("clash")).repartition(3)
-    monkeypatch.setattr(near_copies.keep_one, "__defaults__", (hot,))
     kept = corpus_pipeline.near_dedup_stage(spark, documents, "")
     assert kept.columns == documents.columns
     groups = brute_near_groups(rows)
