@@ -23,7 +23,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("-f", "--format", default="SRTM")
         p.add_argument("-m", "--minimum", type=float, default=1 if name == "isolation" else 100)
         p.add_argument("-s", "--scale", type=float, default=1.0, help="factor from the raster's unit to the output's")
-        p.add_argument("--despike", action="store_true")
+        p.add_argument("--keep-spikes", action="store_true", help="leave in samples far above a neighbour, which otherwise go in row order")
+        p.add_argument("--bounds", type=float, nargs=4, metavar=("SOUTH", "WEST", "NORTH", "EAST"), help="read samples in these degrees only, the west beyond the east across 180")
         if name == "prominence":
             p.add_argument("-a", "--anti", action="store_true")
             p.add_argument("-b", "--bathymetry", action="store_true")
@@ -47,13 +48,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     per = fmt.per_degree
     grid = DegreeGrid(-90.0, -180.0, 90.0, 180.0, per, per)
     cells = raster.one_owner(raster.read_cells(spark, args.format, args.input))
-    if args.despike:
-        cells = stencil.despike(cells, 1000.0)
+    if args.bounds:
+        south, west, north, east = args.bounds
+        lat, lng = grid.position(F.col("gx"), F.col("gy"))
+        within = (lng >= west) & (lng <= east) if west <= east else (lng >= west) | (lng <= east)
+        cells = cells.where((lat >= south) & (lat <= north) & within)
+    if not args.keep_spikes:
+        cells = stencil.despike_in_order(cells, 1000.0, round(per * fmt.degrees))
     if args.program == "isolation":
         found = isolation.geographic_isolation(stencil.candidate_peaks(cells), cells, per)
         lines = sinks.isolation_lines(isolation.at_least(found, args.minimum), grid)
     elif args.program == "prominence":
-        found = prominence.anti_prominence(cells) if args.anti else prominence.prominence(cells, bathymetry=args.bathymetry)
+        found = prominence.anti_prominence(cells, bathymetry=args.bathymetry) if args.anti else prominence.prominence(cells, bathymetry=args.bathymetry)
         lines = sinks.prominence_lines(prominence.prune(found, args.minimum), grid, args.scale)
     else:
         peaks = prominence.prominence(cells).select("gx", "gy", "saddle_x", "saddle_y", F.col("elev").alias("own_elev"), F.col("prominence").alias("own_prominence"))

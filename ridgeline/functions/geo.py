@@ -118,13 +118,13 @@ def to_utm(lat: Column, lng: Column) -> Column:
     return F.struct(zone.alias("zone"), utm_band(lat).alias("band"), east.alias("easting"), (north + F.when(lat < 0, 10000000.0).otherwise(0.0)).alias("northing"))
 
 
-def from_utm(zone: Column, easting: Column, northing: Column, north: bool = True) -> Column:
-    """struct(lat, lng), the inverse series; southern hemisphere with north=False."""
+def from_utm(zone: Column, easting: Column, northing: Column, north: bool | Column = True) -> Column:
+    """struct(lat, lng), the inverse series; southern hemisphere where north is false."""
     e2, e4, e6 = UTM_E2, UTM_E2**2, UTM_E2**3
     second, axis = e2 / (1 - e2), WGS84_A_KM * 1000
     root = (1 - e2) ** 0.5
     e = (1 - root) / (1 + root)
-    y = northing if north else northing - 10000000.0
+    y = F.when(north if isinstance(north, Column) else F.lit(north), northing).otherwise(northing - 10000000.0)
     mu = y / UTM_SCALE / (axis * (1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256))
     phi = mu + (3 * e / 2 - 27 * e**3 / 32) * F.sin(2 * mu) + (21 * e**2 / 16 - 55 * e**4 / 32) * F.sin(4 * mu) + (151 * e**3 / 96) * F.sin(6 * mu)
     bent = 1 - e2 * F.sin(phi) * F.sin(phi)

@@ -253,9 +253,9 @@ def prune(peaks: DataFrame, minimum: float) -> DataFrame:
     return peaks.where(F.col("prominence") >= minimum)
 
 
-def anti_prominence(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Prominence of depressions; elevations are those of the ground."""
-    found = prominence(cells.withColumn("elev", -F.col("elev")), block, bathymetry=True)
+def anti_prominence(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False) -> DataFrame:
+    """Prominence of depressions; elevations are those of the ground.  As for peaks, bathymetry chooses what the deepest is measured from."""
+    found = prominence(cells.withColumn("elev", -F.col("elev")), block, bathymetry)
     return found.withColumn("elev", -F.col("elev")).withColumn("saddle_elev", -F.col("saddle_elev"))
 
 

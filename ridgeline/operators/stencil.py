@@ -23,6 +23,11 @@ def with_ring(cells: DataFrame) -> DataFrame:
     return arrived.where("elev is not null").select("gx", "gy", "elev", F.array(*(f"n{i}" for i in range(8))).alias("ring"))
 
 
+def tile_count(cells: DataFrame, size: int) -> DataFrame:
+    """One row: the number of tiles that have data."""
+    return cells.select(F.floor(F.col("gx") / size), F.floor(F.col("gy") / size)).distinct().agg(F.count("*").alias("n"))
+
+
 def flip(cells: DataFrame) -> DataFrame:
     """Valleys for peaks: elevations negated."""
     return cells.withColumn("elev", -F.col("elev"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ridgeline.plans.scratch import Scratch
+
 
 def union_trees(a: DataFrame, b: DataFrame, id_column: str, shift: int, dx: int = 0, dy: int = 0) -> DataFrame:
     """Rows of both trees, those of b with ids and places shifted."""
@@ -32,5 +34,26 @@ def renumber(table: DataFrame, id_column: str, deleted: DataFrame, groups: int =
     return numbered.join(F.broadcast(before), "_range").withColumn("new_id", F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")  # at most groups + 1 rows
 
 
+def cyclic(edges: DataFrame) -> DataFrame:
+    """edges: (node, parent), the parent null at a root.  The nodes from which no root can be reached.
+
+    Every round a node's pointer skips to its target's pointer, so the rounds
+    grow with the logarithm of the longest way; one that has not ended after
+    as many steps as there are nodes never will.
+    """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    now = scratch.keep(edges.select("node", F.col("parent").alias("to")))
+    steps, n = 1, now.count()
+    while steps <= n:
+        jump = now.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        # A parent that is no node itself ends the way.
+        new = scratch.keep(now.join(jump, "to", "left").select("node", F.col("next").alias("to")))
+        scratch.drop(now)
+        now, steps = new, steps * 2
+        if not now.where("to is not null").limit(1).count():
+            break
+    return now.where("to is not null").select("node")
+
+
 def count_by_type(saddles: DataFrame) -> DataFrame:
     return saddles.groupBy("type").agg(F.count("*").alias("n"))

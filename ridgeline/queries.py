@@ -91,6 +91,11 @@ def tile_max(spark, d):
     return stencil.tile_maximum(_t64(spark, d), TILE)
 
 
+@query(_sql("t64", f"select count(*) as n from (select distinct gx // {TILE}, gy // {TILE} from t64)"))
+def tile_count(spark, d):
+    return stencil.tile_count(_t64(spark, d), TILE)
+
+
 @query(_sql("t64", "select gx, gy, -elev as elev from t64"))
 def tile_flip(spark, d):
     return stencil.flip(_t64(spark, d)).select("gx", "gy", "elev")
@@ -257,7 +262,7 @@ def prominence_bathy(spark, d):
 
 @query(_prominence_sql("(select min(m.level) from meet m join tops t using (id) where t.elev > m.level)").replace("sum(l_quantity)::bigint as elev", "-sum(l_quantity)::bigint as elev").replace("elev::double as elev", "-elev::double as elev"))
 def anti_prominence(spark, d):
-    return prominence.anti_prominence(_t16(spark, d), BLOCK).select("gx", "gy", "elev", "prominence")
+    return prominence.anti_prominence(_t16(spark, d), BLOCK, bathymetry=True).select("gx", "gy", "elev", "prominence")
 
 
 @query(_prominence_sql("0").replace("where elev - coalesce(level, 0) > 0", "where elev - coalesce(level, 0) >= 40"))
@@ -318,6 +323,17 @@ def tree_union(spark, d):
     return tree.union_trees(at("supplier", "s_suppkey"), at("customer", "c_custkey"), "id", 100000, 5, 2)
 
 
+_LINKED = "linked as (select o_orderkey as node, case when o_orderkey % 11 = 0 then null when o_orderkey % 97 < 3 then o_orderkey // 97 * 97 + (o_orderkey % 97 + 1) % 3 else o_orderkey // 3 end as parent from orders)"
+
+
+@query(f"with recursive {_LINKED}, way(node, pos) as (select node, parent from linked where parent is not null union select w.node, l.parent from way w join linked l on l.node = w.pos where l.parent is not null), ends as (select distinct w.node from way w left join linked l on l.node = w.pos where l.node is null or l.parent is null) select node from linked where parent is not null and node not in (select node from ends)")
+def tree_cycles(spark, d):
+    key = F.col("o_orderkey")
+    ring = F.floor(key / 97) * 97 + (key % 97 + 1) % 3
+    parent = F.when(key % 11 == 0, F.lit(None)).when(key % 97 < 3, ring).otherwise(F.floor(key / 3))
+    return tree.cyclic(spark.read.parquet(f"{d}/orders.parquet").select(key.alias("node"), parent.cast("long").alias("parent")))
+
+
 def _saddle_table(spark, d):
     kind = F.element_at(F.array(*map(F.lit, "pfbe")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("saddle_id"), kind.alias("type"), F.col("o_totalprice").alias("elev"))
@@ -443,11 +459,11 @@ def utm_forward(spark, d):
     return _world(spark, d).select("id", u["zone"].alias("zone"), u["band"].alias("band"), F.round(u["easting"], 3).alias("easting"), F.round(u["northing"], 3).alias("northing"))
 
 
-@query(f"with {_WORLD} select id, round(lat, 5) as lat, round(lng, 5) as lng from world where lat >= 0 and lat < 56 ")
+@query(f"with {_WORLD} select id, round(lat, 5) as lat, round(lng, 5) as lng from world")
 def utm_inverse(spark, d):
-    """To UTM and back gives the position."""
-    u = _world(spark, d).where("lat >= 0 and lat < 56").withColumn("u", geo.to_utm(F.col("lat"), F.col("lng")))
-    back = geo.from_utm(F.col("u.zone"), F.col("u.easting"), F.col("u.northing"))
+    """To UTM and back gives the position, in all zones of both hemispheres."""
+    u = _world(spark, d).withColumn("u", geo.to_utm(F.col("lat"), F.col("lng")))
+    back = geo.from_utm(F.col("u.zone"), F.col("u.easting"), F.col("u.northing"), F.col("lat") >= 0)
     return u.select("id", F.round(back["lat"], 5).alias("lat"), F.round(back["lng"], 5).alias("lng"))
 
 
@@ -534,10 +550,25 @@ def offsets_to(spark, d):
     return crs.offsets_to_extent(at, crs.merged_extent(at), 16).select("id", "dx", "dy")
 
 
-@query("select printf('P,%d,%d,%d,%.2f', s_suppkey, (s_suppkey % 10)::int, (s_suppkey % 7)::int, s_acctbal) as line from supplier")
+@query(
+    f"select '{GRID.line()}' as line union all select printf('P,%d,%d,%d,%.2f', s_suppkey, (s_suppkey % 10)::int, (s_suppkey % 7)::int, s_acctbal) from supplier"
+    " union all select printf('S,%d,%s,%d,%d,%.2f', c_custkey, substr('pfbe', (c_custkey % 4 + 1)::int, 1), (c_custkey % 50)::int, (c_custkey % 70)::int, c_acctbal) from customer"
+    " union all select printf('R,%d,%d,%d,%.2f,%d,%d', n_nationkey, n_regionkey::int, (n_nationkey % 7)::int, n_nationkey / 4.0::double, (n_nationkey % 4 + 1)::int, (n_nationkey % 2)::int) from nation"
+    " union all select printf('N,%d,%d,%d', s_suppkey, (s_suppkey // 2)::int, (s_suppkey % 5 - 1)::int) from supplier"
+    " union all select printf('E,%d,%d', n_nationkey, (n_regionkey + 1)::int) from nation"
+)
 def dvt_lines(spark, d):
-    peaks = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("peak_id"), (F.col("s_suppkey") % 10).alias("x"), (F.col("s_suppkey") % 7).alias("y"), F.col("s_acctbal").alias("elev"))
-    return sinks.dvt_lines(GRID, {"P": peaks}).where("part = 1").select("line")
+    """All lines of a tree file: the grid, and the five kinds."""
+    read = lambda t, key, *columns: spark.read.parquet(f"{d}/{t}.parquet").select(F.col(key[0]).alias(key[1]), *columns)
+    at = lambda c, n, name: (F.col(c) % n).cast("int").alias(name)
+    tables = {
+        "P": read("supplier", ("s_suppkey", "peak_id"), at("s_suppkey", 10, "x"), at("s_suppkey", 7, "y"), F.col("s_acctbal").alias("elev")),
+        "S": read("customer", ("c_custkey", "saddle_id"), F.element_at(F.array(*map(F.lit, "pfbe")), (F.col("c_custkey") % 4 + 1).cast("int")).alias("type"), at("c_custkey", 50, "x"), at("c_custkey", 70, "y"), F.col("c_acctbal").alias("elev")),
+        "R": read("nation", ("n_nationkey", "runoff_id"), F.col("n_regionkey").cast("int").alias("x"), at("n_nationkey", 7, "y"), (F.col("n_nationkey") / 4).alias("elev"), (F.col("n_nationkey") % 4 + 1).cast("int").alias("quadrants"), at("n_nationkey", 2, "inside_peak")),
+        "N": read("supplier", ("s_suppkey", "peak_id"), F.floor(F.col("s_suppkey") / 2).cast("int").alias("parent_id"), (F.col("s_suppkey") % 5 - 1).cast("int").alias("saddle_id")),
+        "E": read("nation", ("n_nationkey", "runoff_id"), (F.col("n_regionkey") + 1).cast("int").alias("peak_id")),
+    }
+    return sinks.dvt_lines(GRID, tables).select("line")
 
 
 @query(_sql("t64", _PEAKS_SQL, _ISO, f"select printf('%.4f,%.4f,%.2f,%.4f,%.4f,%.4f', 44.0 - c.gy / {PER_DEGREE}.0, -110.0 + c.gx / {PER_DEGREE}.0, c.elev::double, coalesce(44.0 - b.y / {PER_DEGREE}.0, 0.0), coalesce(-110.0 + b.x / {PER_DEGREE}.0, 0.0), coalesce(b.dist, -1.0)) as line from cand c left join best b on b.gx = c.gx and b.gy = c.gy and b.r = 1"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.sources.formats import check_bounds, decode, file_name, parse_format, parse_name
+from ridgeline.sources.formats import Format, check_bounds, decode, file_name, parse_format, parse_name
 
 TILES = "tile_id string, lat double, lng double, width int, height int, samples array<float>"
 CELLS = "tile_id string, gx int, gy int, elev float"
@@ -56,9 +56,19 @@ def read_tiles(spark: SparkSession, fmt_name: str, path: str) -> DataFrame:
     return _files(spark, fmt_name, path).mapInArrow(work, TILES)
 
 
+def _degree_format(name: str) -> Format:
+    """The format of that name; those on a UTM grid have no place among global degree coordinates."""
+    fmt = parse_format(name)
+    if fmt is None:
+        raise ValueError(f"unknown format {name}")
+    if fmt.name == "3DEP-1M":
+        raise ValueError(f"{name} tiles lie on a UTM grid, which scans do not support")
+    return fmt
+
+
 def read_cells(spark: SparkSession, fmt_name: str, path: str, flip: bool = False, scale: float = 1.0) -> DataFrame:
     """A row per sample that has data (CELLS).  Overlapping edge samples occur once per tile."""
-    fmt = parse_format(fmt_name)
+    fmt = _degree_format(fmt_name)
     per = fmt.per_degree
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def normal(rows, columns):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "supplier", "customer", "events"):
+    for t in ("lineitem", "orders", "supplier", "customer", "events", "nation"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = queries.queries()[name](spark, SF)
     want = con.execute(queries.oracle_sql()[name])
@@ -125,6 +125,20 @@ def test_spikes_in_order(spark):
     assert sorted(r.gx for r in stencil.despike_in_order(cells_of(spark, grid), 1000, 8).collect()) == [0, 2]
 
 
+def test_utm_of_a_known_place(spark):
+    """On a central meridian the northing is the scaled meridian arc, 4,429,529.03 m at 40 degrees."""
+    u = geo.to_utm(F.lit(40.0), F.lit(-105.0))
+    south = geo.to_utm(F.lit(-40.0), F.lit(-105.0))
+    r = spark.range(1).select(u["zone"].alias("zone"), u["easting"].alias("e"), u["northing"].alias("n"), south["northing"].alias("s")).first()
+    assert r.zone == 13 and r.e == pytest.approx(500000, abs=0.01)
+    assert r.n == pytest.approx(0.9996 * 4429529.03, abs=0.02) and r.s == pytest.approx(1e7 - 0.9996 * 4429529.03, abs=0.02)
+
+
+def test_scans_refuse_utm_formats(spark, tmp_path):
+    with pytest.raises(ValueError, match="UTM"):
+        raster.read_cells(spark, "3DEP-1M", str(tmp_path))
+
+
 def test_equal_points_have_no_distance(spark):
     r = spark.range(1).select(geo.ellipsoid_m(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0)).alias("a"), geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("b")).first()
     assert r.a == 0 and r.b == pytest.approx(111194.9, abs=1)
