@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import lm_scoring, mixing, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
+from ridgeline.llm.words import bound_batches
 from ridgeline.plans.scratch import checkpoint_dir
 
 #: Bytes of text that a shard may hold.
@@ -16,6 +17,7 @@ SHARD_BYTES = 1 << 20
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     checkpoint_dir(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATOR = np.zeros(256, bool)
@@ -196,6 +196,11 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CH
     _give_back()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of few bytes, however long they are: every worker and its JVM hold some at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 * CHUNK_BYTES)
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of arrays, numpy arrays or lists in the order of schema."""
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
