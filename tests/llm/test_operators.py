@@ -504,6 +504,40 @@ def test_rules_keep_clean_rows_and_catch_junk(spark):
     assert found[1] > 0.99 and found[0] < 0.1
 
 
+def brute_threshold(scores, good, loss):
+    best = (-2.0, 0.0)
+    order = sorted(set(scores))
+    for cut in [*((a + b) / 2 for a, b in zip(order, order[1:])), order[-1]]:
+        lost = np.sum(scores[good] > cut) / good.sum()
+        best = max(best, (np.sum(scores[~good] > cut) / (~good).sum() - lost if lost <= loss else -1.0, cut))
+    return best[1]
+
+
+def test_rules_learn_from_every_labelled_row(spark):
+    rng = np.random.default_rng(8)
+    made, marked = [], []
+    for i in range(15_000):
+        good = bool(rng.random() < 0.6)
+        text = [f"w{x}" + "%" * int(rng.random() < (0.05 if good else 0.15)) + "." * int(rng.random() < 0.3) for x in rng.integers(0, 999, int(rng.integers(12, 40)))]
+        made.append((i, " ".join(text)))
+        marked.append((i, int(good)))
+    # A doc_id of two texts: both are learned from.
+    made += [(i, f"another text of document {i} " + " ".join(f"{x}%" for x in range(20))) for i in range(40)]
+    docs, labels = spark.createDataFrame(made, "doc_id long, text string").repartition(3), spark.createDataFrame(marked, "doc_id long, quality int")
+    judged = quality_rules.quality_rules(docs, labels).where("not base_failed").join(labels, "doc_id")
+    found = judged.where(~quality_rules.held_out(F.col("doc_id"))).toPandas()
+    assert len(found) > 9_500
+    scores, good = found.anomaly.to_numpy(), (found.quality == 1).to_numpy()
+    assert ((scores <= brute_threshold(scores, good, quality_rules.LOSS)) == found.kept).all()
+
+
+def test_trees_draw_from_all_good_rows_however_they_are_dealt(spark):
+    made = spark.range(20_000).select(F.xxhash64("id").alias("key"), F.array_repeat(F.col("id").cast("double"), len(quality_rules.FEATURES)).alias("features"))
+    found = [np.array(quality_rules.subsamples(made.repartition(n), 20_000))[:, :, 0] for n in (2, 7)]
+    assert found[0].shape == (quality_rules.TREES, quality_rules.SUBSAMPLE) and (found[0] == found[1]).all()
+    assert all(len(set(tree)) == quality_rules.SUBSAMPLE for tree in found[0]) and len(np.unique(found[0])) > 19_000
+
+
 def test_rules_without_labels(documents, labels, empty):
     assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(documents, labels.limit(0)).collect())
     assert quality_rules.quality_rules(empty, labels).count() == 0
