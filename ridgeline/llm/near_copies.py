@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.components import connected_components
@@ -42,6 +42,8 @@ from ridgeline.plans.scratch import Scratch
 SHINGLE, BANDS, ROWS = 5, 32, 5
 #: Jaccard similarity from which on two texts are near copies, as a fraction.
 LEAST = (4, 5)
+#: Words of 64 bits in a table of marks: four rows a word, and more when there are more rows than this has room for.
+MARK_WORDS = 1 << 21
 _FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,6 +80,12 @@ def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """An id of each set, equal for equal sets."""
+    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes), dtype=np.uint64)))
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
 def with_sets(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, sid (equal for equal sets), n (different shingles) and keys for each row."""
 
@@ -85,18 +93,45 @@ def with_sets(documents: DataFrame) -> DataFrame:
         for part, texts in chunks(batches):
             hashes, at = shingle_sets(texts)
             n = np.diff(at)
-            total = np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes), dtype=np.uint64)))
-            sid = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64)
             keys = np.zeros((len(texts), BANDS), np.int64)
             if len(hashes):
                 keys[n > 0] = band_keys(hashes, at).view(np.int64)
-            yield rows(_SETS, part.column(0), part.column(2), sid, n, pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
+            yield rows(_SETS, part.column(0), part.column(2), set_ids(hashes, at), n, pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
 
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, _SETS_DDL)
 
 
+def _word(row: Column, words: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(row, 24), F.lit(words))
+
+
+def _bits(row: Column) -> Column:
+    """Four bits of a word, by the bits of the row's hash that do not choose the word."""
+    out = F.lit(0).cast("long")
+    for i in range(4):
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(row, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+    return out
+
+
+def marked(documents: DataFrame, listed: DataFrame, scratch: Scratch, most: int = MARK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """documents in two parts: rows that listed (doc_id, text_hash) may hold, and rows that it surely does not.
+
+    A Bloom filter of listed is broadcast, of a few bytes a row and of at most
+    ``most`` words, so that no text is shuffled to find out.  The first part has
+    all rows that are listed and a few that are not (more, if the filter is too
+    small), and whoever needs exactly the listed ones has to join it.
+    """
+    words = min(most, max(1, listed.count() // 4))
+    row = F.xxhash64("doc_id", "text_hash")
+    marks = scratch.keep(listed.select(_word(row, words).alias("word"), _bits(row).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    own = F.xxhash64("d.doc_id", F.xxhash64("d.text"))
+    known = documents.alias("d").join(F.broadcast(marks).alias("m"), _word(own, words) == F.col("m.word"), "left")
+    may = F.coalesce(F.col("m.bits"), F.lit(0)).bitwiseAND(_bits(own)) == _bits(own)
+    return known.where(may).select("d.*"), known.where(~may).select("d.*")
+
+
 def _shingles(asked: DataFrame, documents: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sid, shingles) of each sid asked for, cut again from one of the texts that have it.
+    """(sid, shingles) of each sid asked for, and of a few others, cut again from one of the texts that have it.
 
     All shingles of all texts take more room than the texts, and few are asked for.
     """
@@ -104,13 +139,12 @@ def _shingles(asked: DataFrame, documents: DataFrame, sets: DataFrame, scratch:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             hashes, at = shingle_sets(texts)
-            yield rows(_SHINGLES, part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))))
+            yield rows(_SHINGLES, set_ids(hashes, at), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))))
 
     one = sets.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
-    one = scratch.keep(one.select("sid", "of.doc_id", "of.text_hash"))
-    texts = documents.select("doc_id", "text").alias("d").join(one.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.xxhash64("d.text") == F.col("o.text_hash")))
-    # Rows alike in doc_id and text give a set more than once.
-    return scratch.keep(texts.select("o.sid", "d.text").mapInArrow(work, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles")))
+    texts, _ = marked(documents.select("doc_id", "text"), scratch.keep(one.select("of.doc_id", "of.text_hash")), scratch)
+    # Rows alike in doc_id and text, or marked by chance, give a set more than once.
+    return scratch.keep(texts.mapInArrow(work, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles")))
 
 
 def _near(pairs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -194,9 +228,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """documents with one row of each group that near copies link: the one with the smallest doc_id.
 
     Of rows that share that doc_id the one whose text has the least hash stays,
-    and a group without any doc_id keeps one of its rows by the same rule.  What
-    goes is looked up; the texts themselves are only shuffled if the list of
-    dropped rows is beyond Spark's bound for a broadcast.
+    and a group without any doc_id keeps one of its rows by the same rule.  Only
+    texts that may go are looked up in the list of what does.
     """
     scratch = Scratch(documents.sparkSession, "keep-one")
     found, parts = near_groups(documents)
@@ -205,8 +238,9 @@ def keep_one(documents: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     # Rows that go, and those that stay once though they are there more often.
     listed = scratch.keep(keys.join(first, "component").where(~stays | (F.col("n") > 1)).select("doc_id", "text_hash", stays.alias("stays")))
-    own, same = documents.alias("d"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64("d.text") == F.col("l.text_hash"))
-    out = own.join(listed.alias("l"), same, "left_anti")
+    may, out = marked(documents, listed, scratch)
+    own, same = may.alias("d"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64("d.text") == F.col("l.text_hash"))
+    out = out.union(own.join(listed.alias("l"), same, "left_anti"))
     repeated = listed.where("stays")
     if repeated.isEmpty():
         return out

@@ -477,6 +477,28 @@ def test_cached_tokenizer_equals_the_tokenizer():
 # 8 -------------------------------------------------------------------------
 
 
+def test_near_dedup_shuffles_no_text_that_stays(spark):
+    from ridgeline.llm import near_copies
+    from ridgeline.plans.scratch import Scratch
+
+    made = [(i if i % 9 else None, f"text {i % 1800} " * 5) for i in range(2000)]
+    documents = spark.createDataFrame(made, "doc_id long, text string").withColumn("bits", F.lit("clash")).repartition(3)
+    listed = documents.where("doc_id % 10 = 0 or doc_id is null").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    for most in (near_copies.MARK_WORDS, 8):  # 8 words are too few: more rows may be listed, but none is missed
+        may, rest = near_copies.marked(documents, listed, Scratch(spark, "t"), most)
+        assert may.columns == documents.columns and may.count() + rest.count() == 2000
+        assert rest.where("doc_id % 10 = 0 or doc_id is null").count() == 0
+        assert most == 8 or may.where("doc_id % 10 <> 0").count() < 100
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_copies.keep_one(documents.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    # Texts that surely stay only meet a broadcast.
+    assert "Union" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
 def brute_rules(text):
     text = text or ""
     w = words(text)
