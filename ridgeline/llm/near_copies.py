@@ -1,11 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys, each made of ``ROWS`` min-hashes; a
-pair at similarity 0.8 shares none with probability (1 - 0.8**5)**32 = 3e-6,
-a closer pair with less.  Every candidate pair is then checked on the whole
-sets (of 64-bit shingle hashes), so no link is an estimate.  SimHash does not
-serve here: at similarity 0.8 fingerprints of 64 bits differ by about ten
-bits, for which a ring of segments has no selective keys left.
+Candidates come from the SimHash operator: pairs whose fingerprints of the
+five-word shingles its pigeonring filtering finds within two bits.  That does
+not reach down to a similarity of 0.8, where fingerprints of 64 bits differ by
+about ten bits and no segment of a ring is selective.  So that no link is lost,
+sets that share one of ``BANDS`` further keys, each made of ``ROWS``
+min-hashes, are candidates as well; a pair at similarity 0.8 shares none with
+probability (1 - 0.8**5)**32 = 3e-6, a closer pair with less.  Every candidate
+pair is then checked on the whole sets (of 64-bit shingle hashes), so no link
+is an estimate, whichever way it came.
 
 Equal sets collapse first.  Under each key every set is checked against one
 hub, the set whose keys are the most popular (in a cluster of copies that is
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm import simhash_dedup
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.words import Words, chunks, mix, prefix_hash, rows, span_hash
 from ridgeline.plans.scratch import Scratch
@@ -47,8 +51,8 @@ MARK_WORDS = 1 << 21
 _FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
-_SETS_DDL = "doc_id long, text_hash long, sid long, n int, keys array<long>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, text_hash long, sid long, n int, fp long, keys array<long>"
 _SHINGLES = pa.schema([("sid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -87,7 +91,7 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sid (equal for equal sets), n (different shingles) and keys for each row."""
+    """doc_id, text_hash, sid (equal for equal sets), n (different shingles), fp (the SimHash fingerprint) and keys for each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -96,11 +100,23 @@ def with_sets(documents: DataFrame) -> DataFrame:
             keys = np.zeros((len(texts), BANDS), np.int64)
             if len(hashes):
                 keys[n > 0] = band_keys(hashes, at).view(np.int64)
-            yield rows(_SETS, part.column(0), part.column(2), set_ids(hashes, at), n, pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
+            yield rows(_SETS, part.column(0), part.column(2), set_ids(hashes, at), n, simhash_dedup.fingerprints(texts, SHINGLE).view(np.int64), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
 
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, _SETS_DDL)
 
 
+def similar(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): pairs of sets that the SimHash operator's pigeonring filtering links, or whose fingerprints are equal."""
+    prints = scratch.keep(sets.where("n > 0").select("fp", "sid", "n").distinct())
+    heads = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")))
+    equal = prints.join(heads, "fp").select(F.struct("sid", "n").alias("a"), F.col("head").alias("b"))
+    near = simhash_dedup.links(heads.select("fp"), scratch)
+    for name, end in (("a", "u"), ("b", "v")):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(name)), end)
+    both = equal.union(near.select("a", "b")).where((F.col("a.sid") != F.col("b.sid")) & _alike("a.n", "b.n"))
+    return scratch.keep(both.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct())
+
+
 def _word(row: Column, words: int) -> Column:
     return F.pmod(F.shiftrightunsigned(row, 24), F.lit(words))
 
@@ -194,23 +210,24 @@ def _meetings(met: DataFrame) -> DataFrame:
     return found.select(F.least("sid", "other_sid").alias("u"), F.greatest("sid", "other_sid").alias("v"))
 
 
-def near_groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, sid) for each row, and (sid, component) for each set that has near copies."""
+def near_groups(documents: DataFrame, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, sid) for each row, and (sid, component) for each set that has near copies; with no bands, those that SimHash finds."""
     scratch = Scratch(documents.sparkSession, "near-copies")
     sets = scratch.keep(with_sets(documents))
     classes = sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    index = scratch.keep(classes.select("sid", "n", F.explode("keys").alias("key")))
+    index = scratch.keep(classes.select("sid", "n", F.explode(F.slice("keys", 1, bands)).alias("key")))
     shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     kept = scratch.keep(index.join(shared, "key"))
     scratch.drop(index)
-    # Every set that is compared below is under a shared key, so the texts are gone through once for them.
-    found = _shingles(kept.select("sid").distinct(), documents, sets, scratch)
-    # A set's hub under any key weighs more than itself, so a pair comes one way round.
+    prints = similar(sets, scratch)
+    # Every set that is compared below is in such a pair or under a shared key, so the texts are gone through once for them.
+    asked = kept.select("sid").union(prints.select("u")).union(prints.select("v"))
+    found = _shingles(asked.distinct(), documents, sets, scratch)
     weights = kept.groupBy("sid").agg(F.sum("members").alias("weight"))
     weighed = scratch.keep(kept.join(weights, "sid").select("key", "sid", "n", "weight"))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("hub"))
     stars = weighed.join(hubs, "key").where((F.col("sid") != F.col("hub.sid")) & _alike("n", "hub.n"))
-    links = _near(stars.select(F.col("sid").alias("u"), F.col("hub.sid").alias("v")), found, scratch)
+    links = _near(prints.union(stars.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v"))), found, scratch)
     parts = connected_components(links, scratch)
     placed = scratch.keep(weighed.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("component")))
     scratch.drop(kept)
@@ -224,7 +241,7 @@ def near_groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets.select("doc_id", "text_hash", "sid"), parts.withColumnRenamed("node", "sid")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, bands: int = BANDS) -> DataFrame:
     """documents with one row of each group that near copies link: the one with the smallest doc_id.
 
     Of rows that share that doc_id the one whose text has the least hash stays,
@@ -232,7 +249,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     texts that may go are looked up in the list of what does.
     """
     scratch = Scratch(documents.sparkSession, "keep-one")
-    found, parts = near_groups(documents)
+    found, parts = near_groups(documents, bands)
     keys = scratch.keep(found.join(parts, "sid", "left").groupBy(F.coalesce("component", "sid").alias("component"), "doc_id", "text_hash").agg(F.count("*").alias("n")))
     first = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))

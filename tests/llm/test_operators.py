@@ -477,6 +477,26 @@ def test_cached_tokenizer_equals_the_tokenizer():
 # 8 -------------------------------------------------------------------------
 
 
+def test_near_dedup_takes_candidates_from_simhash(spark):
+    from ridgeline.llm import near_copies
+    from ridgeline.plans.scratch import Scratch
+
+    rng = np.random.default_rng(11)
+    base = [[f"w{x}" for x in rng.integers(0, 400, 600)] for _ in range(40)]
+    made = [" ".join(b) for b in base] + [" ".join([*b, "tail"]) for b in base]
+    documents = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    sets = scratch.keep(near_copies.with_sets(documents))
+    of = {r.doc_id: r.sid for r in sets.collect()}
+    pairs = {(r.u, r.v) for r in near_copies.similar(sets, scratch).collect()}
+    prints = simhash_dedup.fingerprints([t.encode() for t in made], near_copies.SHINGLE)
+    close = {(a, b) for b in range(80) for a in range(b) if int(prints[a] ^ prints[b]).bit_count() <= simhash_dedup.DISTANCE}
+    assert len(close) > 30 and all((min(of[a], of[b]), max(of[a], of[b])) in pairs for a, b in close)
+    # These pairs alone link texts, and are only believed after the exact check.
+    kept = near_copies.keep_one(documents, bands=0)
+    assert kept.count() == 80 - len({b for _, b in close})
+
+
 def test_near_dedup_shuffles_no_text_that_stays(spark):
     from ridgeline.llm import near_copies
     from ridgeline.plans.scratch import Scratch
