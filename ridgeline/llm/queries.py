@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import lm_scoring, mixing, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup
+from ridgeline.llm import centroids, lexical_search, lm_scoring, mixing, packing, permutation_index, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup, substring_dedup, toxicity
 from ridgeline.llm.words import bound_batches
 from ridgeline.plans.scratch import checkpoint_dir
 
@@ -68,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # What SQL can express of operators whose whole result it can't: the contract's base columns, by the same operators.
 
 
@@ -88,7 +100,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_quality_classifier, op3_permutation_index, op4_secret_scan, op5_substring_dedup, op6_extendible_sharding, op7_packing, op8_quality_rules, op9_lm_scoring, op10_mixing, base_secrets, base_rules, base_lm_scores, mixing_targets]
+    found = [op1_simhash, op2_quality_classifier, op3_permutation_index, op4_secret_scan, op5_substring_dedup, op6_extendible_sharding, op7_packing, op8_quality_rules, op9_lm_scoring, op10_mixing, op11_toxicity, op12_centroids, op13_lexical_search, base_secrets, base_rules, base_lm_scores, mixing_targets]
     return {f.__name__: f for f in found}
 
 
@@ -172,5 +184,42 @@ select doc_id, size, s as source_size, round(least(3.0::double * s, w * l), 4) a
 """
 
 
+_DISTANCE = "list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+
+
+def _round(i: int) -> str:
+    """Assignment to the centroids c<i>, and the centroids after it: floors of means, an empty cluster's as it was."""
+    return f"""a{i} as materialized (select r, min_by(k, (d, k)) as k, min(d) as d from (select r, k, {_DISTANCE} as d from v, c{i}) group by r),
+s{i} as (select k, j, sum(q[j])::bigint as s, count(*) as n from a{i} join v using (r), unnest(range(1, 65)) as t(j) group by k, j),
+m{i} as (select k, list((s - ((s % n) + n) % n) // n order by j) as m from s{i} group by k),
+c{i + 1} as materialized (select k, coalesce(m, c) as c from c{i} left join m{i} using (k))"""
+
+
+OP12_SQL = f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select row_number() over (order by h, q) - 1 as k, q as c from (select sha256('3:' || vec_id) as h, q from v order by h, q limit 8)),
+{", ".join(map(_round, range(11)))},
+i as (select k, sum(d)::bigint as of_cluster from a10 group by k)
+select vec_id, k::int as cluster, d as distance, of_cluster as cluster_inertia, (select sum(d)::bigint from a10) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a10 join v using (r) join i using (k) join c10 using (k)
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+with docs as (select row_number() over () as r, doc_id, {_TERMS} as w from documents),
+total as (select count(*) filter (len(w) > 0) as n, coalesce(sum(len(w)), 0)::bigint as l from docs),
+held as (select r, t, count(*) as tf from (select r, unnest(w) as t from docs) group by r, t),
+df as (select t, count(*) as df from held group by t),
+asked as (select q, t, count(*) as repeats from (select row_number() over () as q, unnest({_TERMS}) as t from benchmark) group by q, t),
+weighed as (select q, t, repeats * floor(1000 * ln((2 * n + 2) / (2 * df + 1)::double))::bigint as w from asked join df using (t), total),
+length as (select r, doc_id, 100 - 25 + (25 * len(w) * n) // l as m from docs, total where len(w) > 0),
+scored as (select q, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from weighed join held using (t) join length using (r) group by q, r having score > 0),
+best as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id) as rank from scored join length using (r))
+select item_id, rank::int as rank, doc_id, score from best join (select row_number() over () as q, item_id from benchmark) using (q) where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op6_extendible_sharding": OP6_SQL, "base_secrets": BASE_SECRETS_SQL, "base_rules": BASE_RULES_SQL, "base_lm_scores": BASE_LM_SQL, "mixing_targets": MIXING_TARGETS_SQL}
+    return {"op12_centroids": OP12_SQL, "op13_lexical_search": OP13_SQL, "op5_substring_dedup": OP5_SQL, "op6_extendible_sharding": OP6_SQL, "base_secrets": BASE_SECRETS_SQL, "base_rules": BASE_RULES_SQL, "base_lm_scores": BASE_LM_SQL, "mixing_targets": MIXING_TARGETS_SQL}

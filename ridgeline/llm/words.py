@@ -75,9 +75,9 @@ def per_doc(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts (bytes each)."""
+    """The words of some texts (bytes each): what lies between the bytes marked in gaps, line feed among them."""
 
-    def __init__(self, texts: list[bytes], fold: bool = False):
+    def __init__(self, texts: list[bytes], fold: bool = False, gaps: np.ndarray = SEPARATOR):
         self.n = len(texts)
         self.raw = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(self.raw, np.uint8)
@@ -87,7 +87,7 @@ class Words:
         lengths = np.fromiter((len(x) for x in texts), np.int64, self.n)
         self.doc_at = np.zeros(self.n + 1, np.int64)
         np.cumsum(lengths + 1, out=self.doc_at[1:])
-        gap = SEPARATOR[self.buf]
+        gap = gaps[self.buf]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if len(self.buf) and not gap[0]:
             edge = np.concatenate(([0], edge))

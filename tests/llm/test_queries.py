@@ -17,7 +17,7 @@ def normal(rows, columns):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = queries.queries()[name](spark, SF)
     want = con.execute(queries.oracle_sql()[name])
