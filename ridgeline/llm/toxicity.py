@@ -50,8 +50,8 @@ from ridgeline.llm.words import Words, chunks, mix, one_a_document, prefix_hash,
 from ridgeline.plans.scratch import Scratch
 
 ORDER, DECAY, REACH = 3, 0.6, 5
-FIT_ROWS, ASSOCIATED, FREQUENT, DRAWN = 12_000, 6_000, 2_000, 8_000
-LANDMARKS, NEAR, REGULAR, LONGEST = 256, 0.9, 1e-2, 64
+FIT_ROWS, ASSOCIATED, FREQUENT, DRAWN = 12_000, 4_000, 2_000, 6_000
+LANDMARKS, NEAR, REGULAR, LONGEST = 512, 0.9, 1e-4, 64
 TOP, FLOOR, FEATURES = 3, -1.5, 5
 #: Units whose margins a worker keeps from chunk to chunk.
 KEPT = 1 << 18
@@ -259,7 +259,7 @@ def train(names: list[bytes], toxic: np.ndarray, clean: np.ndarray, landmarks: l
     x = np.hstack([kernel(spans(names), spans(landmarks)) @ root, np.ones((len(names), 1))])
     x, y = np.vstack([x, x]), np.repeat([1.0, -1.0], len(names))
     share = toxic / (toxic + clean)
-    weight = np.sqrt(toxic + clean)
+    weight = (toxic + clean) ** 0.75
     weight = np.concatenate([weight * share, weight * (1 - share)])
     weight /= weight.sum()
     w = np.zeros(x.shape[1])
