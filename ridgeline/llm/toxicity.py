@@ -11,8 +11,9 @@ as letters; one-letter words in a row are one unit ("i d i o t").  A sentence
 ends with a mark of ``.!?`` at a word's end, or with the line.  A sentence
 takes the label of its document; its units are the instances.
 
-* Training counts in Spark how many labelled texts of either kind hold each
-  unit.  A bounded number of units is learned from (``ASSOCIATED`` that go most
+* Training counts in Spark in how many distinct sentences of either kind each
+  unit occurs; a sentence of texts of both kinds is a clean one, and copies
+  count once.  A bounded number of units is learned from (``ASSOCIATED`` that go most
   with the label, the ``FREQUENT`` commonest, ``DRAWN`` by a hash); a greedy
   pass over them picks the landmarks.  Kernel values with the landmarks, turned
   by the landmarks' own kernel matrix (Nystrom), are the features of a linear
@@ -38,6 +39,7 @@ An empty table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +53,7 @@ from ridgeline.plans.scratch import Scratch
 
 ORDER, DECAY, REACH = 3, 0.6, 5
 FIT_ROWS, ASSOCIATED, FREQUENT, DRAWN = 12_000, 4_000, 2_000, 6_000
-LANDMARKS, NEAR, REGULAR, LONGEST = 512, 0.9, 1e-4, 64
+LANDMARKS, NEAR, REGULAR, LONGEST = 512, 0.9, 1e-3, 64
 TOP, FLOOR, FEATURES = 3, -1.5, 5
 #: Units whose margins a worker keeps from chunk to chunk.
 KEPT = 1 << 18
@@ -259,19 +261,24 @@ def train(names: list[bytes], toxic: np.ndarray, clean: np.ndarray, landmarks: l
     x = np.hstack([kernel(spans(names), spans(landmarks)) @ root, np.ones((len(names), 1))])
     x, y = np.vstack([x, x]), np.repeat([1.0, -1.0], len(names))
     share = toxic / (toxic + clean)
-    weight = (toxic + clean) ** 0.75
+    weight = (toxic + clean) ** 0.6
     weight = np.concatenate([weight * share, weight * (1 - share)])
     weight /= weight.sum()
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], REGULAR / len(landmarks))
     penalty[-1] = 1e-9
-    for _ in range(30):
+    loss = lambda v: (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum() + (penalty * v * v).sum()
+    now = loss(w)
+    for _ in range(60):
         on = (y * (x @ w) < 1) & (weight > 0)
         a = x[on] * weight[on, None]
-        new = np.linalg.solve(a.T @ x[on] + np.diag(penalty), a.T @ y[on])
-        if np.abs(new - w).max() < 1e-6:
+        step, size = np.linalg.solve(a.T @ x[on] + np.diag(penalty), a.T @ y[on]) - w, 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-10 * before:
             break
-        w = new
     return root @ w[:-1], float(w[-1])
 
 
@@ -294,21 +301,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _unit_counts(texts: DataFrame) -> DataFrame:
-    """unit, and in how many texts of either kind it occurs, of rows (text, bad)."""
-    schema = pa.schema([("unit", pa.binary()), ("bad", pa.int64())])
+    """unit, and in how many distinct sentences of either kind it occurs, of rows (text, bad)."""
+    schema = pa.schema([("sentence", pa.binary()), ("bad", pa.bool_()), ("units", pa.list_(pa.binary()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, some in chunks(batches):
             bad = part.column(1).to_numpy(zero_copy_only=False)
             found, _ = units(some)
-            short = np.flatnonzero(np.diff(found.at) <= LONGEST)
-            _, first = np.unique(np.stack([found.doc[short].astype(np.uint64), found.hashes()[short]]), axis=1, return_index=True) if len(short) else (None, short)
-            which = short[first]
-            symbols, at = found.take(which)
-            raw = symbols.astype(np.uint8).tobytes()
-            yield rows(schema, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], bad[found.doc[which]].astype(np.int64))
+            raw = found.symbols.astype(np.uint8).tobytes()
+            names = [raw[a:b] for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
+            edge = np.flatnonzero(np.concatenate(([True], found.sentence[1:] != found.sentence[:-1], [True]))) if names else np.zeros(1, np.int64)
+            spans_ = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+            yield rows(schema, [hashlib.md5(raw[found.at[a] : found.at[b]]).digest() for a, b in spans_], bad[found.doc[edge[:-1]]], [list({n for n in names[a:b] if len(n) <= LONGEST}) for a, b in spans_])
 
-    return texts.select("text", "bad").mapInArrow(work, "unit binary, bad long").groupBy("unit").agg(F.sum("bad").alias("toxic"), (F.count("*") - F.sum("bad")).alias("clean"))
+    sentences = texts.select("text", "bad").mapInArrow(work, "sentence binary, bad boolean, units array<binary>")
+    # One of a kind: copies of a text would make all its words look like its label.
+    distinct = sentences.groupBy("sentence").agg(F.min("bad").alias("bad"), F.first("units").alias("units"))
+    return distinct.select(F.explode("units").alias("unit"), F.col("bad").cast("long").alias("bad")).groupBy("unit").agg(F.sum("bad").alias("toxic"), (F.count("*") - F.sum("bad")).alias("clean"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | float:
@@ -359,8 +368,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
 
     measured = aside.select("text", "bad").mapInArrow(work, "bad boolean, x array<double>").toArrow()  # at most fit_rows rows
     x, y = np.array(measured["x"].to_pylist()), measured["bad"].to_numpy().astype(np.float64)
-    order = np.lexsort((*x.T, y))  # whatever order the rows came in
-    return Model(table, bias, logistic(x[order], y[order]), name)
+    both = np.unique(np.column_stack([x, y]).round(9), axis=0)  # copies count once, in whatever order they came
+    return Model(table, bias, logistic(both[:, :-1], both[:, -1]), name)
 
 
 def score_with(model: Model | float, documents: DataFrame) -> DataFrame:
