@@ -141,7 +141,7 @@ def _emit(bx, by, tops, final, left, node, border, outer) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("gx", "gy", "peak", "other", "sx", "sy", "end_a", "end_b")} | {"elev": "float64", "level": "float64"})
 
 
-def _block(size: int):
+def _block(size: int, around: int = 0):
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         bx, by = (int(k) for k in key)
         x, y = part["gx"].to_numpy(), part["gy"].to_numpy()
@@ -155,7 +155,7 @@ def _block(size: int):
         a, b, level, cell = adjacency(grid, top)
         tops = {name(i): float(elev[i]) for i in np.unique(top[top >= 0])}
         edges = [(float(e), name(i), name(j), int(c) % w + x0, int(c) // w + y0, name(i), name(j)) for i, j, e, c in zip(a, b, level, cell, strict=True)]
-        on = ((x == bx * size) | (x == bx * size + size - 1) | (y == by * size) | (y == by * size + size - 1)).nonzero()[0]
+        on = ((x == bx * size) | (x == bx * size + size - 1) | (y == by * size) | (y == by * size + size - 1) | (x == around - 1)).nonzero()[0]
         border = []
         for k in on:
             p = name(top[(y[k] - y0) * w + x[k] - x0])
@@ -169,8 +169,8 @@ def _block(size: int):
     return work
 
 
-def _join_blocks(span: int, last: bool):
-    """A group of 2 by 2 blocks; span: cells across the group."""
+def _join_blocks(span: int, last: bool, around: int = 0):
+    """A group of 2 by 2 blocks; span: cells across the group; around: cells around the globe, whose first and last columns touch."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         px, py = (int(k) for k in key)
@@ -181,16 +181,17 @@ def _join_blocks(span: int, last: bool):
         seams: dict[tuple[int, int], tuple] = {}
         for (x, y), (e, p, own, block) in at.items():
             for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1)):
-                there = at.get((x + dx, y + dy))
-                if there is None or there[3] == block:
+                beyond = (x + dx) % around if around else x + dx
+                there = at.get((beyond, y + dy))
+                if there is None or (there[3] == block and beyond == x + dx):
                     continue
-                low, sx, sy = (e, x, y) if e <= there[0] else (there[0], x + dx, y + dy)
+                low, sx, sy = (e, x, y) if e <= there[0] else (there[0], beyond, y + dy)
                 (a, end_a), (b, end_b) = sorted(((p, own), (there[1], there[2])))
                 order = (-low, sy, sx, end_a, end_b)
                 if (a, b) not in seams or order < seams[a, b][0]:
                     seams[a, b] = (order, (low, a, b, sx, sy, end_a, end_b))
         edges += [e for _, e in seams.values()]
-        outer = lambda x, y: not last and (x % span in (0, span - 1) or y % span in (0, span - 1))
+        outer = lambda x, y: not last and (x % span in (0, span - 1) or y % span in (0, span - 1) or x == around - 1)
         border = [(x, y, e, p, own) for (x, y), (e, p, own, _) in at.items()]
         highest: dict[int, float] = {}
         for x, y, e, p, _ in border:
@@ -202,12 +203,16 @@ def _join_blocks(span: int, last: bool):
     return work
 
 
-def merge_peaks(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False) -> DataFrame:
-    """(peak, elev, prominence, saddle_x, saddle_y, saddle_elev, end) of every local top, those without prominence included."""
+def merge_peaks(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False, around: int = 0) -> DataFrame:
+    """(peak, elev, prominence, saddle_x, saddle_y, saddle_elev, end) of every local top, those without prominence included.
+
+    With around, gx runs from 0 to below it and the first and last columns
+    touch; they stay on the border until the last merge, which joins them.
+    """
     scratch = Scratch(cells.sparkSession, "prominence")
     typed = cells.select("gx", "gy", F.col("elev").cast("double").alias("elev")).where("elev is not null and not isnan(elev)")
     key = lambda c, n: F.floor(F.col(c) / n).cast("long").alias({"gx": "bx", "gy": "by"}.get(c, c))
-    level = scratch.keep(typed.groupBy(key("gx", block), key("gy", block)).applyInPandas(_block(block), _SCHEMA))
+    level = scratch.keep(typed.groupBy(key("gx", block), key("gy", block)).applyInPandas(_block(block, around), _SCHEMA))
     done = [level.where("kind = 'F'")]
     span = block
     while True:
@@ -215,7 +220,7 @@ def merge_peaks(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False)
         single = far[0] is None or (far[0] == 0 and far[1] == 0)
         span *= 2
         open_ = level.where("kind <> 'F'")
-        new = scratch.keep(open_.groupBy((F.col("bx") / 2).cast("long").alias("px"), (F.col("by") / 2).cast("long").alias("py")).applyInPandas(_join_blocks(span, single), _SCHEMA))
+        new = scratch.keep(open_.groupBy((F.col("bx") / 2).cast("long").alias("px"), (F.col("by") / 2).cast("long").alias("py")).applyInPandas(_join_blocks(span, single, around), _SCHEMA))
         done.append(new.where("kind = 'F'"))
         level = new
         if single:
@@ -238,14 +243,15 @@ def _place(c: str, x: str = "gx", y: str = "gy"):
     return F.pmod(c, F.lit(_ROW)).cast("int").alias(x), F.expr(f"{c} div {_ROW}").cast("int").alias(y)
 
 
-def prominence(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False) -> DataFrame:
+def prominence(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False, around: int = 0) -> DataFrame:
     """(gx, gy, elev, prominence, saddle_x, saddle_y, saddle_elev) of every peak with positive prominence.
 
     The highest peak of each landmass has no saddle; its prominence is its
     height over sea level (zero), or with bathymetry over the lowest saddle.
-    Coordinates must not be negative and no cell may occur twice.
+    Coordinates must not be negative and no cell may occur twice.  With around,
+    so many samples lie around the globe, and land joins across the seam.
     """
-    return merge_peaks(cells, block, bathymetry).select(*_place("peak"), "elev", "prominence", "saddle_x", "saddle_y", "saddle_elev").where("prominence > 0")
+    return merge_peaks(cells, block, bathymetry, around).select(*_place("peak"), "elev", "prominence", "saddle_x", "saddle_y", "saddle_elev").where("prominence > 0")
 
 
 def prune(peaks: DataFrame, minimum: float) -> DataFrame:
@@ -253,13 +259,13 @@ def prune(peaks: DataFrame, minimum: float) -> DataFrame:
     return peaks.where(F.col("prominence") >= minimum)
 
 
-def anti_prominence(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False) -> DataFrame:
+def anti_prominence(cells: DataFrame, block: int = BLOCK, bathymetry: bool = False, around: int = 0) -> DataFrame:
     """Prominence of depressions; elevations are those of the ground.  As for peaks, bathymetry chooses what the deepest is measured from."""
-    found = prominence(cells.withColumn("elev", -F.col("elev")), block, bathymetry)
+    found = prominence(cells.withColumn("elev", -F.col("elev")), block, bathymetry, around)
     return found.withColumn("elev", -F.col("elev")).withColumn("saddle_elev", -F.col("saddle_elev"))
 
 
-def parents(cells: DataFrame, block: int = BLOCK, minimum: float = 0.0) -> DataFrame:
+def parents(cells: DataFrame, block: int = BLOCK, minimum: float = 0.0, around: int = 0) -> DataFrame:
     """(gx, gy, elev, prominence, line_x, line_y, parent_x, parent_y) of peaks with more than the minimum prominence.
 
     The line parent is the first peak at least as high on the walk that starts
@@ -268,7 +274,7 @@ def parents(cells: DataFrame, block: int = BLOCK, minimum: float = 0.0) -> DataF
     are as many as the longest such walk has steps.
     """
     scratch = Scratch(cells.sparkSession, "parents")
-    peaks = scratch.keep(merge_peaks(cells, block).select("peak", "elev", "prominence", "end"))
+    peaks = scratch.keep(merge_peaks(cells, block, around=around).select("peak", "elev", "prominence", "end"))
     about = peaks.select(F.col("peak").alias("at"), F.col("elev").alias("at_elev"), F.col("prominence").alias("at_prominence"))
     state = scratch.keep(peaks.withColumn("at", F.col("end")).join(about, "at", "left").select("peak", "elev", "prominence", "at", (F.col("at").isNull() | (F.col("at_elev") >= F.col("elev"))).alias("done")))
     while state.where("not done").limit(1).count():

@@ -15,7 +15,7 @@ def _key(x, y):
     return (y.cast("long") * (1 << 31) + x).cast("long")
 
 
-def _labels_by_links(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def labels_by_links(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the least node that links reach, by taking neighbours' labels and then labels' labels, until nothing changes."""
     both = scratch.keep(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     now = scratch.keep(nodes.select("node", F.col("node").alias("label")))
@@ -40,7 +40,7 @@ def flat_components(cells: DataFrame, corners: bool = True) -> DataFrame:
     there = sends.select(_key(F.col("gx"), F.col("gy")).alias("u"), (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), "elev")
     links = there.join(at, ["gx", "gy", "elev"]).select("u", _key(F.col("gx"), F.col("gy")).alias("v"))
     nodes = at.select(_key(F.col("gx"), F.col("gy")).alias("node"))
-    found = _labels_by_links(nodes, links, scratch)
+    found = labels_by_links(nodes, links, scratch)
     named = at.withColumn("node", _key(F.col("gx"), F.col("gy"))).join(found, "node")
     return named.select("gx", "gy", "elev", F.pmod("label", F.lit(1 << 31)).cast("int").alias("cx"), F.expr(f"label div {1 << 31}").cast("int").alias("cy"))
 
@@ -103,7 +103,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         ends = out.select(F.col("lp").alias("l"), order.alias("o"), "lp", "lq", "level").union(out.select("lq", order, "lp", "lq", "level"))
         best = scratch.keep(ends.groupBy("l").agg(F.min(F.struct("o", "lp", "lq", "level")).alias("m")).select("m.o.p", "m.o.q", "m.level", "m.lp", "m.lq").distinct())
         chosen.append(best.select("p", "q", "level"))
-        merged = _labels_by_links(label.select(F.col("label").alias("node")).distinct(), best.select(F.col("lp").alias("u"), F.col("lq").alias("v")), scratch)
+        merged = labels_by_links(label.select(F.col("label").alias("node")).distinct(), best.select(F.col("lp").alias("u"), F.col("lq").alias("v")), scratch)
         label = scratch.keep(label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
     result = base.limit(0)
     for c in chosen:

@@ -19,19 +19,23 @@ def compact(saddles: DataFrame) -> DataFrame:
     return saddles.where("type = 'p'")
 
 
-def renumber(table: DataFrame, id_column: str, deleted: DataFrame, groups: int = 64) -> DataFrame:
-    """table without the deleted ids, plus new_id: dense numbers from 1 in order of id.
+def numbered(table: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """table plus a column of dense numbers in the given order (rows that agree in it: any order).
 
-    Ids are numbered within ranges, each range starting after the counts of
-    those before it, so no task sees all rows.
+    Rows are partitioned by range, so no task sees all of them however the
+    values cluster; each range starts after the counts of those before it.
     """
-    kept = table.join(deleted, id_column, "left_anti")
-    top = kept.agg(F.max(id_column)).first()[0] or 0
-    width = top // groups + 1
-    ranged = kept.withColumn("_range", F.floor(F.col(id_column) / width).cast("int"))
-    before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    numbered = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(id_column)))
-    return numbered.join(F.broadcast(before), "_range").withColumn("new_id", F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")  # at most groups + 1 rows
+    scratch = Scratch(table.sparkSession, "numbered")
+    ranged = scratch.keep(table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").count()
+    before = counts.select("_range", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = F.row_number().over(W.partitionBy("_range").orderBy(*order)) + F.col("_before") + (first - 1)
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, n).drop("_range", "_before")  # a row a partition
+
+
+def renumber(table: DataFrame, id_column: str, deleted: DataFrame) -> DataFrame:
+    """table without the deleted ids, plus new_id: dense numbers from 1 in order of id."""
+    return numbered(table.join(deleted, id_column, "left_anti"), [id_column], "new_id")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import crs, geo
 from ridgeline.operators import isolation as iso
-from ridgeline.operators import polygon, prominence, regions, stencil, tree
-from ridgeline.plans.scratch import checkpoint_dir
+from ridgeline.operators import divide, polygon, prominence, regions, saddles, stencil, tree
+from ridgeline.plans.scratch import Scratch, checkpoint_dir
 from ridgeline.sources import raster, sinks
 
 SPIKE, TILE, PER_DEGREE, BLOCK = 30, 16, 16, 8
@@ -200,6 +200,40 @@ def saddle_candidates(spark, d):
     return stencil.ring_saddles(_t64(spark, d))
 
 
+_COMP = "comp as (select gx, gy, elev, min(ay::bigint * 100000 + ax) as c from flat group by 1, 2, 3)"
+_SEGMENTS = "edge as (select distinct c.c, c.elev as level, n.gx, n.gy, n.elev from comp c join t64 n on abs(n.gx - c.gx) <= 1 and abs(n.gy - c.gy) <= 1 and n.elev > c.elev), seg(c, level, gx, gy, elev, s) as (select c, level, gx, gy, elev, gy::bigint * 100000 + gx from edge union select e.c, e.level, e.gx, e.gy, e.elev, s.s from seg s join edge e on e.c = s.c and abs(e.gx - s.gx) <= 1 and abs(e.gy - s.gy) <= 1), named as (select c, level, gx, gy, elev, min(s) as s from seg group by 1, 2, 3, 4, 5)"
+_RING_PLACE = "case when dy = -r then dx + r when dx = r then 3 * r + dy when dy = r then 5 * r - dx else 7 * r - dy end"
+
+
+@query(
+    _sql(
+        "t64",
+        _FLAT,
+        _COMP,
+        _SEGMENTS,
+        "high as (select c, level, s, max((elev, -gy, -gx)) as h from named group by 1, 2, 3)",
+        "pair as (select *, max(h) over (partition by c) as t from high)",
+        "mid as (select c, level, h, t, (-h[3] - t[3]) // 2 as mx, (-h[2] - t[2]) // 2 as my from pair where h <> t)",
+        "near as (select m.*, p.gx, p.gy, p.gx - mx as dx, p.gy - my as dy, greatest(abs(p.gx - mx), abs(p.gy - my)) as r from mid m join comp p on p.c = m.c)",
+        f"placed as (select *, row_number() over (partition by c, h order by r, {_RING_PLACE}) as n from near)",
+        "select gx, gy, level as elev, (-h[3])::int as high_x, (-h[2])::int as high_y, (-t[3])::int as top_x, (-t[2])::int as top_y, (c % 100000)::int as cx, (c // 100000)::int as cy from placed where n = 1",
+    )
+)
+def flat_saddles(spark, d):
+    return saddles.flat_saddles(_t64(spark, d))
+
+
+@query(
+    f"with label as (select distinct (l_partkey % 64)::int as gx, (l_orderkey % 64)::int as gy, l_quantity::int as label from lineitem), place as (select o_orderkey as id, (o_orderkey % 61)::int as x, (o_custkey % 59)::int as y, (o_orderkey % 50 + 1)::int as label from orders), near as (select id, l.gx, l.gy, l.gx - a.x as dx, l.gy - a.y as dy, greatest(abs(l.gx - a.x), abs(l.gy - a.y)) as r from place a join label l using (label)) select id, arg_min(gx, r * 1000 + {_RING_PLACE}) as gx, arg_min(gy, r * 1000 + {_RING_PLACE}) as gy from near group by id"
+)
+def closest_labelled(spark, d):
+    """The closest cell of each place's label, ring by ring."""
+    items, orders = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    label = items.select((F.col("l_partkey") % 64).cast("int").alias("gx"), (F.col("l_orderkey") % 64).cast("int").alias("gy"), F.col("l_quantity").cast("int").alias("label")).distinct()
+    at = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 61).cast("int").alias("x"), (F.col("o_custkey") % 59).cast("int").alias("y"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("label"))
+    return saddles.closest_labelled(at, label, 64).select("id", "gx", "gy")
+
+
 @query(") select n_saddles, count(*) as n from (select gx, gy, elev, ".join(_ring_sql().rsplit(") select gx, gy, elev, ", 1)) + ") group by 1")
 def saddle_counts(spark, d):
     return stencil.ring_saddles(_t64(spark, d)).groupBy("n_saddles").agg(F.count("*").alias("n"))
@@ -355,6 +389,107 @@ def renumber(spark, d):
     return tree.renumber(_saddle_table(spark, d).select("saddle_id"), "saddle_id", gone).select("saddle_id", "new_id")
 
 
+# --- divide trees ----------------------------------------------------------------
+
+
+def _runoff_sql(src: str, size: int) -> str:
+    """The runoffs of tiles of src: tiles with their neighbours' first row and column, each side walked eastward or southward."""
+    return ", ".join(
+        [
+            f"tile as (select distinct (gx // {size})::int as tx, (gy // {size})::int as ty from {src})",
+            f"cell as (select tx, ty, (gx - tx * {size})::int as x, (gy - ty * {size})::int as y, elev from tile join {src} on gx between tx * {size} and tx * {size} + {size} and gy between ty * {size} and ty * {size} + {size})",
+            f"dim as (select tx, ty, case when max(x) = {size} then {size} else {size - 1} end as ex, case when max(y) = {size} then {size} else {size - 1} end as ey from cell group by 1, 2)",
+            f"border as (select tx, ty, side, k, case side when 0 then k when 1 then ex when 2 then 0 else k end as x, case side when 0 then 0 when 1 then k when 2 then k else ey end as y from dim, range(0, {size + 1}) r(k), (values (0), (1), (2), (3)) s(side) where k <= case when side in (0, 3) then ex else ey end)",
+            "step as (select a.tx, a.ty, a.side, a.k, a.x, a.y, c.elev as v, row_number() over w as n, lag(c.elev) over w as lv, lag(a.x) over w as lx, lag(a.y) over w as ly from border a left join cell c on c.tx = a.tx and c.ty = a.ty and c.x = a.x and c.y = a.y window w as (partition by a.tx, a.ty, a.side order by a.k))",
+            "mark as (select *, n > 1 and v is not null and (lv is null or v > lv) as rise, n > 1 and lv is not null and (v is null or v < lv) as fall from step)",
+            "was as (select *, last_value(case when rise then true when fall then false end ignore nulls) over (partition by tx, ty, side order by k rows between unbounded preceding and 1 preceding) as up from mark)",
+            "corner as (select c.tx, c.ty, c.x, c.y, c.elev from cell c join dim using (tx, ty) where c.x in (0, ex) and c.y in (0, ey))",
+            "ro as (select tx, ty, x, y, elev, 1 as quadrants from corner union select tx, ty, lx, ly, lv, 2 from was where fall and up and not exists (select 1 from corner c where c.tx = was.tx and c.ty = was.ty and c.x = lx and c.y = ly))",
+        ]
+    )
+
+
+_INSIDE_PEAK = "flat(tx, ty, rx, ry, x, y, elev) as (select tx, ty, x, y, x, y, elev from ro union select f.tx, f.ty, f.rx, f.ry, c.x, c.y, c.elev from flat f join cell c on c.tx = f.tx and c.ty = f.ty and c.elev = f.elev and abs(c.x - f.x) <= 1 and abs(c.y - f.y) <= 1), lower as (select distinct f.tx, f.ty, f.rx as x, f.ry as y from flat f join cell c on c.tx = f.tx and c.ty = f.ty and c.elev > f.elev and abs(c.x - f.x) <= 1 and abs(c.y - f.y) <= 1)"
+
+
+@query(_sql("t64", _runoff_sql("t64", TILE), _INSIDE_PEAK, f"select r.tx, r.ty, (r.tx * {TILE} + r.x)::int as x, (r.ty * {TILE} + r.y)::int as y, r.elev::double as elev, r.quadrants, (l.x is null)::int as inside_peak from ro r left join lower l on l.tx = r.tx and l.ty = r.ty and l.x = r.x and l.y = r.y"))
+def tile_runoffs(spark, d):
+    """Runoffs of T64's sixteen tiles: corners, falls after rises, and whether each lies on a peak's flat area."""
+    return divide.tile_trees(_t64(spark, d), TILE).where("kind = 'R'").select("tx", "ty", "x", "y", F.col("level").alias("elev"), "quadrants", "inside_peak")
+
+
+def _quarters(spark, d):
+    pieces = Scratch(spark, "quarters").keep(divide.tile_trees(_t16(spark, d), BLOCK))
+    return [divide.tree_of(pieces.where((F.col("tx") == x) & (F.col("ty") == y))) for y in (0, 1) for x in (0, 1)]
+
+
+@query(_prominence_sql("0"))
+def divide_tree_merge(spark, d):
+    """Trees of T16's four quarters, merged pairwise without their rasters, have the prominences of the whole."""
+    a, b, c, e = _quarters(spark, d)
+    whole = divide.merge(divide.merge(a, b), divide.merge(c, e))
+    return divide.tree_prominence(whole).select("gx", "gy", "elev", "prominence")
+
+
+@query(_prominence_sql("(select min(m.level) from meet m join tops t using (id) where t.elev > m.level)"))
+def divide_tree_bathy(spark, d):
+    return divide.tree_prominence(divide.build_tree(_t16(spark, d), 4), bathymetry=True).select("gx", "gy", "elev", "prominence")
+
+
+@query(_sql("t16", _steep("t16"), _WALK, _RAG, _TOPS, _MEET, "select m.level::double as level, count(*) as n from tops join meet m using (id) where elev > m.level group by 1"))
+def spliced_forest_levels(spark, d):
+    """Saddles of the forest after all seams of sixteen tiles are spliced: as many at each height as islands of the whole raster meet there."""
+    return divide.build_tree(_t16(spark, d), 4).edges.groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(_prominence_sql("0").replace("where elev - coalesce(level, 0) > 0", "where elev - coalesce(level, 0) >= 40"))
+def divide_tree_pruned(spark, d):
+    """Tiles' trees pruned, merged and pruned to the end keep the prominences that are large enough."""
+    tree_ = divide.finish(divide.build_tree(_t16(spark, d), 4, minimum=40.0), 40.0)
+    return divide.tree_prominence(tree_).where("prominence >= 40").select("gx", "gy", "elev", "prominence")
+
+
+_OPEN = "reach as (select w.px, w.py, max(r.elev) as open from ro r join region w on w.gx = r.x and w.gy = r.y group by 1, 2), state as (select t.id, t.elev, coalesce(r.open, -1) as open from tops t left join reach r on r.py * 2147483648 + r.px = t.id)"
+_SIDES = "side(p, q, level, s, node) as (select p, q, level, 0, p from forest union all select p, q, level, 1, q from forest union select i.p, i.q, i.level, i.s, case when f.p = i.node then f.q else f.p end from side i join forest f on (f.p = i.node or f.q = i.node) and (-f.level, f.p, f.q) < (-i.level, i.p, i.q)), top as (select p, q, level, s, max(case when open >= level then 1000000000 else elev end) as m from side join state on id = node group by 1, 2, 3, 4), pair as (select p, q, level, min(m) as m from top group by 1, 2, 3)"
+
+
+@query(_sql("t16", _steep("t16"), _WALK, _RAG, _FOREST, _TOPS, _runoff_sql("t16", 16), _OPEN, _SIDES, "select level::double as level, case when m < 1000000000 then (m - level)::double end as prominence, count(*) as n from pair where m > level group by 1, 2"))
+def saddle_prominence(spark, d):
+    """T16 as one tile whose land goes on at its border: the height over each saddle of the lower island, unlimited if both reach a runoff."""
+    found = divide.saddle_prominence(divide.tree_of(divide.tile_trees(_t16(spark, d), 16)))
+    return found.groupBy("level", "prominence").agg(F.count("*").alias("n"))
+
+
+def _around(sql: str) -> str:
+    """The same with the first and last of sixteen columns side by side."""
+    return sql.replace("abs(n.gx - c.gx) <= 1", "abs(n.gx - c.gx) in (0, 1, 15)").replace("abs(a.gx - b.gx) <= 1", "abs(a.gx - b.gx) in (0, 1, 15)")
+
+
+@query(_around(_prominence_sql("0")))
+def prominence_around(spark, d):
+    return prominence.prominence(_t16(spark, d), BLOCK, around=16).select("gx", "gy", "elev", "prominence")
+
+
+@query(_around(_prominence_sql("0")))
+def divide_tree_around(spark, d):
+    return divide.tree_prominence(divide.build_tree(_t16(spark, d), 4, around=16)).select("gx", "gy", "elev", "prominence")
+
+
+@query(
+    "with recursive node as (select c_custkey as node, case when c_custkey > 3 and c_custkey % 50 <> 0 then c_custkey - 1 - c_custkey % 3 end as parent, floor(c_acctbal)::bigint as level from customer),"
+    " way(node, up, low) as (select node, node, null::bigint from node union all select w.node, n.parent, least(w.low, n.level) from way w join node n on n.node = w.up where n.parent is not null),"
+    " pair as (select c_custkey as a, c_custkey * 7 % (select count(*) from customer) + 1 as b from customer)"
+    " select a, b, max(case when y.node is not null then least(x.low, y.low) end) as low from pair left join way x on x.node = a left join way y on y.node = b and y.up = x.up group by a, b"
+)
+def path_minimum(spark, d):
+    """Pairs of customers on deep chains: the least value on the way between them."""
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    key = F.col("c_custkey")
+    nodes = customers.select(key.alias("node"), F.when((key > 3) & (key % 50 != 0), key - 1 - key % 3).alias("parent"), F.floor("c_acctbal").cast("long").alias("level"))
+    pairs = customers.select(key.alias("a"), (key * 7 % customers.count() + 1).alias("b"))
+    return divide.path_minimum(nodes, pairs)
+
+
 # --- isolation -----------------------------------------------------------------
 
 _ISO = "hit as (select p.gx, p.gy, p.elev, n.gx as x, n.gy as y, sqrt(((n.gx - p.gx) * (n.gx - p.gx) + (n.gy - p.gy) * (n.gy - p.gy))::double) as dist from cand p join t64 n on n.elev > p.elev), best as (select *, row_number() over (partition by gx, gy order by dist, y, x) as r from hit)"

@@ -2,8 +2,9 @@
 
 Files are read as whole binaries by Spark, so any store that Spark reads will
 do, and each is decoded in the task that read it.  ``cells`` carry global
-integer coordinates: gx grows eastward and gy southward from 180 W, 90 N, so
-neighbouring tiles need no copies of each other's edges.
+integer coordinates: gx grows eastward and gy southward from 180 W, 90 N (from
+easting 0 and northing 10,000 km on a UTM grid), so neighbouring tiles need no
+copies of each other's edges.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.sources.formats import Format, check_bounds, decode, file_name, parse_format, parse_name
+from ridgeline.functions.crs import DegreeGrid, Grid, UtmGrid
+from ridgeline.operators.polygon import tiles_in_polygons
+from ridgeline.sources.formats import check_bounds, decode, file_name, parse_format, parse_name
 
 TILES = "tile_id string, lat double, lng double, width int, height int, samples array<float>"
 CELLS = "tile_id string, gx int, gy int, elev float"
+#: UTM tiles are named in units of ten kilometres; northings end at a thousand of them.
+UTM_METRES, UTM_UNITS = 10_000, 1_000
 
 
 def enumerate_tiles(spark: SparkSession, fmt_name: str, min_lat: float, max_lat: float, min_lng: float, max_lng: float) -> DataFrame:
@@ -32,10 +38,27 @@ def enumerate_tiles(spark: SparkSession, fmt_name: str, min_lat: float, max_lat:
     return wrapped.mapInPandas(lambda parts: (p.assign(name=[file_name(fmt, a, b) for a, b in zip(p["lat"], p["lng"], strict=True)]) for p in parts), schema)
 
 
-def _files(spark: SparkSession, fmt_name: str, path: str) -> DataFrame:
+def select_files(spark: SparkSession, fmt_name: str, path: str, polygons: DataFrame) -> list[str]:
+    """Files of the format under path whose tile a polygon (ring) touches, found from their names alone; no content is read."""
+    fmt = parse_format(fmt_name)
+
+    def places(parts):
+        for p in parts:
+            found = [(f, parse_name(fmt, f.rsplit("/", 1)[-1])) for f in p["path"]]
+            yield pd.DataFrame([(f, float(at[0]), float(at[1])) for f, at in found if at is not None], columns=["path", "lat", "lng"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path").mapInPandas(places, "path string, lat double, lng double")
+    return [r["path"] for r in tiles_in_polygons(listed, polygons, fmt.degrees).select("path").orderBy("path").collect()]
+
+
+def _files(spark: SparkSession, fmt_name: str, path: str, polygons: DataFrame | None = None) -> DataFrame:
+    """The files' paths and contents; with polygons, those of tiles that they touch, and no others are opened."""
     if parse_format(fmt_name) is None:
         raise ValueError(f"unknown format {fmt_name}")
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    chosen = path if polygons is None else select_files(spark, fmt_name, path, polygons)
+    if not chosen:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(chosen).select("path", "content")
 
 
 def read_tiles(spark: SparkSession, fmt_name: str, path: str) -> DataFrame:
@@ -56,20 +79,27 @@ def read_tiles(spark: SparkSession, fmt_name: str, path: str) -> DataFrame:
     return _files(spark, fmt_name, path).mapInArrow(work, TILES)
 
 
-def _degree_format(name: str) -> Format:
-    """The format of that name; those on a UTM grid have no place among global degree coordinates."""
-    fmt = parse_format(name)
+def grid_of(fmt_name: str, zone: int | None = None) -> Grid:
+    """The grid of global coordinates that cells of a format are placed on: the whole earth in degrees, or a UTM zone's northern half."""
+    fmt = parse_format(fmt_name)
     if fmt is None:
-        raise ValueError(f"unknown format {name}")
-    if fmt.name == "3DEP-1M":
-        raise ValueError(f"{name} tiles lie on a UTM grid, which scans do not support")
-    return fmt
+        raise ValueError(f"unknown format {fmt_name}")
+    if not fmt.utm:
+        return DegreeGrid(-90.0, -180.0, 90.0, 180.0, round(fmt.per_degree), round(fmt.per_degree))
+    if zone is None or not 1 <= zone <= 60:
+        raise ValueError(f"{fmt_name} tiles lie on a UTM grid; their zone, 1 to 60, must be given")
+    return UtmGrid(zone, 0, 0, UTM_UNITS * UTM_METRES, UTM_UNITS * UTM_METRES, UTM_METRES / fmt.per_degree)
 
 
-def read_cells(spark: SparkSession, fmt_name: str, path: str, flip: bool = False, scale: float = 1.0) -> DataFrame:
-    """A row per sample that has data (CELLS).  Overlapping edge samples occur once per tile."""
-    fmt = _degree_format(fmt_name)
+def read_cells(spark: SparkSession, fmt_name: str, path: str, flip: bool = False, scale: float = 1.0, zone: int | None = None, polygons: DataFrame | None = None) -> DataFrame:
+    """A row per sample that has data (CELLS), on ``grid_of`` the format.  Overlapping edge samples occur once per tile.
+
+    With polygons (ring), only tiles that one of them touches are read.
+    """
+    grid_of(fmt_name, zone)
+    fmt = parse_format(fmt_name)
     per = fmt.per_degree
+    west, north = (0, UTM_UNITS) if fmt.utm else (-180, 90)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,13 +108,13 @@ def read_cells(spark: SparkSession, fmt_name: str, path: str, flip: bool = False
                 if (at := parse_name(fmt, name)) is None:
                     continue
                 tile = decode(fmt, r["content"], *at) * np.float32(-scale if flip else scale)
-                x0, y0 = round((at[1] + 180) * per), round((90 - at[0] - fmt.degrees) * per)
+                x0, y0 = round((at[1] - west) * per), round((north - at[0] - fmt.degrees) * per)
                 for row in range(len(tile)):
                     there = np.flatnonzero(~np.isnan(tile[row]))
                     if len(there):
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(there)), pa.array((x0 + there).astype(np.int32)), pa.array(np.full(len(there), y0 + row, np.int32)), pa.array(tile[row][there])], names=["tile_id", "gx", "gy", "elev"])
 
-    return _files(spark, fmt_name, path).mapInArrow(work, CELLS)
+    return _files(spark, fmt_name, path, polygons).mapInArrow(work, CELLS)
 
 
 def explode_tiles(tiles: DataFrame, per_degree: float) -> DataFrame:
