@@ -45,6 +45,8 @@ _PIECES = "kind string, tx int, ty int, a long, b long, level double, x int, y i
 _PIECE_COLUMNS = [c.split()[0] for c in _PIECES.split(", ")]
 #: Quadrants around a cell; a runoff that has seen all of them is done.
 ALL_QUADRANTS = 4
+#: Rounds over tables shrink them; from so many rows on (counted) one task does what is left of a step, with the same result.
+FINISH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -211,13 +213,53 @@ def tree_of(pieces: DataFrame) -> Tree:
 # --- forest --------------------------------------------------------------------
 
 
+def small(table: DataFrame) -> bool:
+    """Whether one task can hold a kept table's rows."""
+    return table.count() <= FINISH
+
+
+def in_one_task(table: DataFrame, work, schema: str) -> DataFrame:
+    """work, from a pandas frame to one, on all rows of a small table."""
+
+    columns = table.columns
+
+    def whole(parts):
+        found = list(parts)
+        yield work(pd.concat(found) if found else pd.DataFrame(columns=columns))
+
+    return table.coalesce(1).mapInPandas(whole, schema)
+
+
+class Sets:
+    """Disjoint sets, each named by one of its members."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, a: int) -> int:
+        while (up := self.parent.get(a, a)) != a:
+            self.parent[a] = a = self.parent.get(up, up)
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they had been apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
 def _rank(order: str = "level") -> Column:
     """Sorts best first: highest, then first in row order."""
     return F.struct((-F.col(order)).alias("w"), F.col("sy").alias("y"), F.col("sx").alias("x"), F.col("p").alias("p"), F.col("q").alias("q"))
 
 
 def roots_of(pointers: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of pointers (node, to) without cycles; what is no node itself is a root.  Rounds grow with the logarithm of the longest way."""
+    """(node, root) of a kept table of pointers (node, to) without cycles; what is no node itself is a root.
+
+    Rounds grow with the logarithm of the longest way.
+    """
+    if small(pointers):
+        return in_one_task(pointers.select("node", "to"), _follow, "node long, root long")
     now = scratch.keep(pointers.select("node", F.col("to").alias("root")))
     while True:
         jump = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -228,6 +270,27 @@ def roots_of(pointers: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select("node", "root")
 
 
+def _follow(pointers: pd.DataFrame) -> pd.DataFrame:
+    to = dict(zip(pointers["node"].tolist(), pointers["to"].tolist(), strict=True))
+    for node in to:
+        way = [node]
+        while way[-1] in to:
+            way.append(to[way[-1]])
+        to.update(dict.fromkeys(way[:-1], way[-1]))
+    return pd.DataFrame({"node": list(to), "root": list(to.values())}, dtype="int64")
+
+
+def _best_first(edges: pd.DataFrame) -> pd.DataFrame:
+    return edges.assign(w=-edges["level"].astype(float)).sort_values(["w", "sy", "sx", "p", "q"])
+
+
+def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:
+    """Of edges between components cp and cq, those that join two."""
+    sets, best = Sets(), _best_first(edges)
+    joins = [sets.join(a, b) for a, b in zip(best["cp"].tolist(), best["cq"].tolist(), strict=True)]
+    return best[np.array(joins, bool)][["p", "q", "level", "sx", "sy"]]
+
+
 def forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """The maximum spanning forest of edges (p, q, level, sx, sy).
 
@@ -238,15 +301,14 @@ def forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     columns = ["p", "q", "level", "sx", "sy"]
     left = scratch.keep(edges.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "level", "sx", "sy").withColumns({"cp": F.col("p"), "cq": F.col("q")}))
     chosen = edges.limit(0).select(*columns)
-    while True:
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema)
+    while not small(left):
         both = F.explode(F.array(F.struct(F.col("cp").alias("c"), F.col("cq").alias("to")), F.struct(F.col("cq").alias("c"), F.col("cp").alias("to")))).alias("e")
         best = scratch.keep(left.select("*", both).select("e.c", F.struct(_rank().alias("r"), F.col("e.to").alias("to"), *columns).alias("b")).groupBy("c").agg(F.min("b").alias("b")))
-        if not best.limit(1).count():
-            return chosen
         chosen = chosen.union(best.select(*(F.col(f"b.{c}").alias(c) for c in columns)).distinct())
         # Ways along best edges climb, but for the pair that chose one edge: there the smaller is the root.
         other = best.select(F.col("c").alias("to"), F.col("b.to").alias("back"))
-        pointers = best.select(F.col("c").alias("node"), F.col("b.to").alias("to")).join(other, "to", "left").where("not (coalesce(back, -1) = node and node < to)").select("node", "to")
+        pointers = scratch.keep(best.select(F.col("c").alias("node"), F.col("b.to").alias("to")).join(other, "to", "left").where("not (coalesce(back, -1) = node and node < to)").select("node", "to"))
         roots = roots_of(pointers, scratch)
         at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         moved = left.join(at("cp"), "cp", "left").join(at("cq"), "cq", "left").select(*columns, F.coalesce("cp_root", "cp").alias("a"), F.coalesce("cq_root", "cq").alias("b")).where("a <> b")
@@ -254,11 +316,12 @@ def forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(parallel.select(*(F.col(f"m.{c}").alias(c) for c in columns), "cp", "cq"))
         scratch.drop(left)
         left = new
+    return chosen.union(in_one_task(left, _kruskal, kinds))
 
 
 def update_forest(tree_edges: DataFrame, added: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The forest after edges are added to it, and the basins: what was the lowest of a cycle, among the old edges or the new."""
-    both = scratch.keep(tree_edges.union(added.select(*tree_edges.columns)))
+    both = tree_edges.union(added.select(*tree_edges.columns))
     kept = scratch.keep(forest(both, scratch))
     return kept, both.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "level", "sx", "sy").exceptAll(kept)
 
@@ -326,7 +389,7 @@ def merge(*trees: Tree, around: int = 0, basins: list | None = None) -> Tree:
         turn = lambda key: key_of(F.pmod(F.pmod(key, F.lit(_ROW)), F.lit(around)), F.expr(f"{key} div {_ROW}")).alias(key)
         wrap = lambda x: F.pmod(x, F.lit(around)).cast("int").alias(x)
         all_ = Tree(all_.peaks.select(turn("peak"), "elev"), all_.edges.select(turn("p"), turn("q"), "level", wrap("sx"), "sy"), all_.runoffs.select(wrap("x"), "y", "elev", "quadrants", "inside_peak", turn("peak")))
-    all_ = all_.keep(scratch)
+    all_ = replace(all_, runoffs=scratch.keep(all_.runoffs))
     # A cell that is a peak in two tiles is one peak.
     peaks = scratch.keep(all_.peaks.groupBy("peak").agg(F.max("elev").alias("elev")))
     edges, dropped = update_forest(all_.edges, splice_edges(all_.runoffs), scratch)
@@ -343,15 +406,14 @@ def build_tree(cells: DataFrame, size: int, around: int = 0, minimum: float = 0.
 # --- prominence of peaks and saddles ---------------------------------------------
 
 
-def eliminate(tree: Tree, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def eliminate(tree: Tree, scratch: Scratch) -> DataFrame:
     """Islands met from high to low, in rounds over tables.
 
-    Returns saddles (p, q, level, sx, sy, prominence, dies): the saddle's
+    Returns (p, q, level, sx, sy, prominence, dies) of all edges: the saddle's
     prominence is the height over it of the lower of the two islands that meet
     there, null (unlimited) if both reach a runoff at that level or above, so
     that their tops may lie beyond; ``dies`` is that island's
-    top (which may live on if a runoff's side proves the lower).  And what is left: the last
-    node of each landmass (node, open).
+    top (which may live on if a runoff's side proves the lower).
 
     A peak's island at the level of its highest edge is itself.  If that edge
     leads to a peak that is higher (or can't be closed), its saddle is settled,
@@ -366,7 +428,7 @@ def eliminate(tree: Tree, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     edges = scratch.keep(tree.edges.select("p", "q", "level", "sx", "sy", F.col("p").alias("a"), F.col("q").alias("b")))
     done = None
     own = ["p", "q", "level", "sx", "sy"]
-    while edges.limit(1).count():
+    while not small(edges):
         ends = edges.select(*own, F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select(*own, "e.node", "e.to")
         best = ends.groupBy("node").agg(F.min(F.struct(_rank().alias("r"), "to", *own)).alias("m")).select("node", "m.to", *(f"m.{c}" for c in own))
         there = nodes.select(F.col("node").alias("to"), F.col("top").alias("to_top"), F.col("open").alias("to_open"))
@@ -385,20 +447,40 @@ def eliminate(tree: Tree, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         kept = nodes.join(gone.select("node"), "node", "left_anti").join(brings, "node", "left")
         nodes = scratch.keep(kept.select("node", "top", F.greatest("open", F.coalesce("more", "open")).alias("open")))
         edges = new_edges
-    if done is None:
-        done = tree.edges.select(*own, F.lit(None).cast("double").alias("prominence"), F.lit(None).cast("long").alias("dies"))
-    return scratch.keep(done), nodes
+    # Nodes that no edge leads to any more are settled.
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    one = lambda table: table.withColumn("_one", F.lit(0) + F.lit(1)).groupBy("_one")
+    last = one(nodes.join(ends, "node", "left_semi")).cogroup(one(edges)).applyInPandas(_meetings, "p long, q long, level double, sx int, sy int, prominence double, dies long")
+    return scratch.keep(last if done is None else done.union(last))
+
+
+def _meetings(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """What eliminate finds, of one task's nodes (node, top, open) and edges (..., a, b)."""
+    state = {n: (t, o) for n, t, o in zip(nodes["node"].tolist(), nodes["top"].tolist(), nodes["open"].tolist(), strict=True)}
+    sets, best, found = Sets(), _best_first(edges), []
+    for level, a, b in zip(best["level"].tolist(), best["a"].tolist(), best["b"].tolist(), strict=True):
+        ends = sorted((state[r][1] >= level, state[r][0], r) for r in (sets.root(a), sets.root(b)))
+        (unknown, top, low), (_, _, high) = ends
+        found.append((None if unknown else top - level, None if unknown else low))
+        sets.parent[low] = high
+        # The name of an island is its highest peak, whatever runoffs it reaches.
+        if state[low][0:1] + (low,) > state[high][0:1] + (high,):
+            sets.parent[low], sets.parent[high] = low, low
+            low, high = high, low
+        state[high] = (state[high][0], max(state[low][1], state[high][1]))
+    out = best[["p", "q", "level", "sx", "sy"]].assign(prominence=pd.array([f[0] for f in found], "Float64"), dies=pd.array([f[1] for f in found], "Int64"))
+    return out
 
 
 def saddle_prominence(tree: Tree) -> DataFrame:
     """(p, q, level, sx, sy, prominence) of each saddle; null if it is unlimited, see ``eliminate``."""
-    return eliminate(tree, Scratch(tree.spark, "saddles"))[0].drop("dies")
+    return eliminate(tree, Scratch(tree.spark, "saddles")).drop("dies")
 
 
 def tree_prominence(tree: Tree, sea_level: float = 0.0, bathymetry: bool = False) -> DataFrame:
     """(gx, gy, elev, prominence, saddle_x, saddle_y, saddle_elev) of peaks with positive prominence, runoffs left aside."""
     scratch = Scratch(tree.spark, "tree-prominence")
-    saddles, _ = eliminate(replace(tree, runoffs=tree.runoffs.where("false")), scratch)
+    saddles = eliminate(replace(tree, runoffs=tree.runoffs.where("false")), scratch)
     key = saddles.select(F.col("dies").alias("peak"), "prominence", F.col("sx").alias("saddle_x"), F.col("sy").alias("saddle_y"), F.col("level").alias("saddle_elev"))
     all_ = tree.peaks.join(key, "peak", "left")
     sea = F.lit(float(sea_level))
@@ -420,7 +502,7 @@ def prune(tree: Tree, minimum: float, sea_level: float = 0.0) -> Tree:
     """
     scratch = Scratch(tree.spark, "prune")
     tree = tree.keep(scratch)
-    saddles, _ = eliminate(tree, scratch)
+    saddles = eliminate(tree, scratch)
     low = saddles.where(F.col("prominence") < minimum)
     stands = scratch.keep(islands(tree.peaks, low, scratch))
     kept = saddles.where(F.col("prominence").isNull() | (F.col("prominence") >= minimum)).select("p", "q", "level", "sx", "sy")
@@ -432,12 +514,25 @@ def prune(tree: Tree, minimum: float, sea_level: float = 0.0) -> Tree:
 
 def islands(peaks: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the highest peak of each component that the edges make."""
-    ends = edges.select(F.col("p").alias("node")).union(edges.select("q")).distinct()
-    part = labels_by_links(ends, edges.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch).join(peaks.withColumnRenamed("peak", "node"), "node")
+    edges = scratch.keep(edges.select("p", "q"))
+    if small(edges):
+        part = in_one_task(edges, _components, "node long, label long")
+    else:
+        ends = edges.select(F.col("p").alias("node")).union(edges.select("q")).distinct()
+        part = labels_by_links(ends, edges.select(F.col("p").alias("u"), F.col("q").alias("v")), scratch)
+    part = part.join(peaks.withColumnRenamed("peak", "node"), "node")
     best = part.groupBy("label").agg(F.max_by("node", F.struct("elev", "node")).alias("root"))
     return part.join(best, "label").select("node", "root")
 
 
+def _components(edges: pd.DataFrame) -> pd.DataFrame:
+    sets = Sets()
+    for a, b in zip(edges["p"].tolist(), edges["q"].tolist(), strict=True):
+        sets.join(a, b)
+    nodes = list(dict.fromkeys([*edges["p"].tolist(), *edges["q"].tolist()]))
+    return pd.DataFrame({"node": nodes, "label": [sets.root(n) for n in nodes]}, dtype="int64")
+
+
 def finish(tree: Tree, minimum: float) -> Tree:
     """The last step of a merge: land that goes on beyond the map ends there, so runoffs go and all is pruned."""
     return prune(replace(tree, runoffs=tree.runoffs.where("false")), minimum)
@@ -456,6 +551,9 @@ def rooted(edges: DataFrame) -> DataFrame:
     The earlier arc of an edge leads to the child.
     """
     scratch = Scratch(edges.sparkSession, "rooted")
+    edges = scratch.keep(edges.select("p", "q", "level"))
+    if small(edges):
+        return scratch.keep(in_one_task(edges, _hang, f"node long, parent long, level {edges.schema['level'].dataType.simpleString()}"))
     arcs = edges.select(F.explode(F.array(F.struct(F.col("p").alias("u"), F.col("q").alias("v")), F.struct(F.col("q").alias("u"), F.col("p").alias("v")))).alias("a"), "level").select("a.*", "level")
     arcs = scratch.keep(arcs)
     around = W.partitionBy("u").orderBy("v")
@@ -486,6 +584,25 @@ def rooted(edges: DataFrame) -> DataFrame:
     return scratch.keep(child.union(top.select("node", F.lit(None).cast("long"), F.lit(None).cast(edges.schema["level"].dataType))))
 
 
+def _hang(edges: pd.DataFrame) -> pd.DataFrame:
+    near: dict[int, list[tuple[int, float]]] = {}
+    for p, q, level in zip(edges["p"].tolist(), edges["q"].tolist(), edges["level"].tolist(), strict=True):
+        near.setdefault(p, []).append((q, level))
+        near.setdefault(q, []).append((p, level))
+    rows: dict[int, tuple] = {}
+    for start in sorted(near):
+        todo = [] if start in rows else [start]
+        rows.setdefault(start, (start, None, None))
+        while todo:
+            here = todo.pop()
+            for other, level in near[here]:
+                if other not in rows:
+                    rows[other] = (other, here, level)
+                    todo.append(other)
+    out = pd.DataFrame(list(rows.values()), columns=["node", "parent", "level"])
+    return out.astype({"node": "int64", "parent": "Int64"})
+
+
 def path_minimum(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b, others) plus low: the least level on the way between two nodes of a rooted forest (node, parent, level).
 
