@@ -509,10 +509,18 @@ def isolation_at_least(spark, d):
     return iso.at_least(found, 3, "distance").where("distance is not null")
 
 
-@query()
+_FAR = "far as (select p.gx, p.gy, p.elev, n.gx as x, n.gy as y, 90.0::double - p.gy / 16.0::double as la, -180.0::double + p.gx / 16.0::double as lo, 90.0::double - n.gy / 16.0::double as lb, -180.0::double + n.gx / 16.0::double as lp from cand p join t64 n on n.elev > p.elev), way as (select *, sin(radians(lb - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lb)) * sin(radians(lp - lo) / 2) ** 2 as h from far), near as (select *, row_number() over (partition by gx, gy order by atan2(sqrt(h), sqrt(1 - h)), y, x) as n from way)"
+_ON_ELLIPSOID = "arc as (select *, sin(radians((la + lb) / 2)) ** 2 as sf, cos(radians((la + lb) / 2)) ** 2 as cf, sin(radians((la - lb) / 2)) ** 2 as sg, cos(radians((la - lb) / 2)) ** 2 as cg, sin(radians((lo - lp) / 2)) ** 2 as sl, cos(radians((lo - lp) / 2)) ** 2 as cl from near where n = 1), bend as (select *, sg * cl + cf * sl as s, cg * cl + sf * sl as c from arc), shape as (select *, atan2(sqrt(s), sqrt(c)) as w, sqrt(s * c) / atan2(sqrt(s), sqrt(c)) as r, 1 / 298.257223563::double as f from bend)"
+
+
+@query(
+    _sql("t64", _PEAKS_SQL, _FAR, _ON_ELLIPSOID, "select c.gx, c.gy, c.elev, x as higher_x, y as higher_y, round(2 * w * 6378.137 * (1 + f * (3 * r - 1) / (2 * s_c) * sf * cg - f * (3 * r + 1) / (2 * s) * cf * sg), 6) as isolation_km from cand c left join (select *, c as s_c from shape) s on s.gx = c.gx and s.gy = c.gy")
+    .replace("(l_partkey % 64)::int as gx", "(l_partkey % 64 + 1120)::int as gx")
+    .replace("(l_orderkey % 64)::int as gy", "(l_orderkey % 64 + 736)::int as gy")
+)
 def isolation_geographic(spark, d):
     cells = _t64(spark, d).select((F.col("gx") + round(70 * PER_DEGREE)).alias("gx"), (F.col("gy") + round(46 * PER_DEGREE)).alias("gy"), "elev")
-    return iso.geographic_isolation(stencil.candidate_peaks(cells), cells, PER_DEGREE, 1.0)
+    return iso.geographic_isolation(stencil.candidate_peaks(cells), cells, PER_DEGREE, 1.0).withColumn("isolation_km", F.round("isolation_km", 6))
 
 
 _CAP = "cap as (select gx, gy, elev, lat - degrees(30000 / 6371010.0) as s, lat + degrees(30000 / 6371010.0) as n, lng - degrees(asin(sin(30000 / 6371010.0) / cos(radians(lat)))) as w, lng + degrees(asin(sin(30000 / 6371010.0) / cos(radians(lat)))) as e from geo)"
@@ -656,10 +664,14 @@ def rect_intersects(spark, d):
     return polygon.tiles_in_polygons(at, _polygon_table(spark), 0.5).select("bx", "by")
 
 
-@query(f"with {_POLY_SQL} select poly_id, min(x1) as min_lng, min(y1) as min_lat, max(x1) as max_lng, max(y1) as max_lat from edge group by 1")
+@query("select c_nationkey as poly_id, min((c_custkey * 37 % 3600) / 10.0::double - 180) as min_lng, min((c_custkey * 53 % 1700) / 10.0::double - 85) as min_lat, max((c_custkey * 37 % 3600) / 10.0::double - 180) as max_lng, max((c_custkey * 53 % 1700) / 10.0::double - 85) as max_lat from customer group by 1")
 def polygon_bounds(spark, d):
+    """Rings of one point a customer, in order of their keys, by nation."""
+    key = F.col("c_custkey")
+    points = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("poly_id"), F.struct(key, ((key * 37 % 3600) / 10.0 - 180).alias("lng"), ((key * 53 % 1700) / 10.0 - 85).alias("lat")).alias("p"))
+    rings = points.groupBy("poly_id").agg(F.sort_array(F.collect_list("p")).alias("ps")).select("poly_id", F.transform("ps", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("ring"))
     b = polygon.ring_bounds(F.col("ring"))
-    return _polygon_table(spark).select("poly_id", *(b[c].alias(c) for c in ("min_lng", "min_lat", "max_lng", "max_lat")))
+    return rings.select("poly_id", *(b[c].alias(c) for c in ("min_lng", "min_lat", "max_lng", "max_lat")))
 
 
 # --- coordinate systems and text -----------------------------------------------
@@ -717,9 +729,18 @@ def prominence_lines(spark, d):
     return sinks.prominence_lines(prominence.prominence(_t64(spark, d), TILE), GRID, geo.FEET_PER_METRE)
 
 
-@query("select (40 + a.range * 0.25)::double as lat, case when 179 + b.range * 0.25 >= 180 then 179 + b.range * 0.25 - 360 else 179 + b.range * 0.25 end::double as lng from range(0, 8) a, range(0, 8) b")
+@query(
+    "with box as (select o_orderkey as id, (o_orderkey % 80)::double as south, (o_custkey % 300 - 120)::double as west, (o_orderkey % 2 + 1) / 2.0::double as high, (o_custkey % 3 + 1) / 4.0::double as wide from orders),"
+    " tile as (select id, south + a.k * 0.25 as lat, west + b.k * 0.25 as lng from box, range(0, 8) a(k), range(0, 8) b(k) where a.k * 0.25 < high and b.k * 0.25 < wide),"
+    " turned as (select id, lat, case when lng >= 180 then lng - 360 else lng end as lng from tile)"
+    " select id, lat, lng, printf('ned19_n%02dx%02d_%s%03dx%02d.flt', trunc(lat + 0.25)::int, round(100 * (lat + 0.25 - trunc(lat + 0.25)))::int, case when lng < 0 then 'w' else 'e' end, trunc(abs(lng))::int, round(100 * (abs(lng) - trunc(abs(lng))))::int) as name from turned"
+)
 def tile_enumeration(spark, d):
-    return raster.enumerate_tiles(spark, "NED19", 40, 42, 179, 181).select("lat", "lng")
+    """Files of each order's box of latitudes and longitudes."""
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    south, west = (key % 80).cast("double"), (other % 300 - 120).cast("double")
+    boxes = spark.read.parquet(f"{d}/orders.parquet").select(key.alias("id"), south.alias("min_lat"), (south + (key % 2 + 1) / 2.0).alias("max_lat"), west.alias("min_lng"), (west + (other % 3 + 1) / 4.0).alias("max_lng"))
+    return raster.tiles_of(boxes, "NED19").select("id", "lat", "lng", "name")
 
 
 @query(f"with {_WORLD}, a as (select id, case when lat >= 0 then lat + 0.001 else lat - 0.001 end as lat, case when lng >= 0 then lng + 0.001 else lng - 0.001 end as lng from world) select id, printf('prominence-%s%02dx%02d-%s%03dx%02d', case when lat >= 0 then '' else '-' end, abs(trunc(lat))::int, round(100 * abs(lat - trunc(lat)))::int, case when lng >= 0 then '' else '-' end, abs(trunc(lng))::int, round(100 * abs(lng - trunc(lng)))::int) as name from a")

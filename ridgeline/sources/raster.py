@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ridgeline.functions.crs import DegreeGrid, Grid, UtmGrid
 from ridgeline.operators.polygon import tiles_in_polygons
@@ -27,15 +28,23 @@ CELLS = "tile_id string, gx int, gy int, elev float"
 UTM_METRES, UTM_UNITS = 10_000, 1_000
 
 
-def enumerate_tiles(spark: SparkSession, fmt_name: str, min_lat: float, max_lat: float, min_lng: float, max_lng: float) -> DataFrame:
-    """(lat, lng, name) of all tiles in half-open bounds; longitudes wrap at 180."""
+def tiles_of(boxes: DataFrame, fmt_name: str) -> DataFrame:
+    """boxes (min_lat, max_lat, min_lng, max_lng, others) with a row for each tile in them, half-open: its lat, lng and file name; longitudes wrap at 180."""
     fmt = parse_format(fmt_name)
-    check_bounds(fmt, min_lat, max_lat, min_lng, max_lng)
-    n_lat, n_lng = round((max_lat - min_lat) / fmt.degrees), round((max_lng - min_lng) / fmt.degrees)
-    at = spark.range(n_lat * n_lng).select((F.lit(min_lat) + F.floor(F.col("id") / max(n_lng, 1)) * fmt.degrees).alias("lat"), (F.lit(min_lng) + F.pmod("id", F.lit(max(n_lng, 1))) * fmt.degrees).alias("lng"))
-    wrapped = at.withColumn("lng", F.when(F.col("lng") >= 180, F.col("lng") - 360).otherwise(F.col("lng")))
-    schema = "lat double, lng double, name string"
-    return wrapped.mapInPandas(lambda parts: (p.assign(name=[file_name(fmt, a, b) for a, b in zip(p["lat"], p["lng"], strict=True)]) for p in parts), schema)
+    steps = lambda low, high: F.filter(F.sequence(F.lit(0), F.ceil((F.col(high) - F.col(low)) / fmt.degrees).cast("int")), lambda k: F.col(low) + k * fmt.degrees < F.col(high))
+    own = [c for c in boxes.columns if c not in ("min_lat", "max_lat", "min_lng", "max_lng")]
+    at = boxes.withColumn("_i", F.explode(steps("min_lat", "max_lat"))).withColumn("_j", F.explode(steps("min_lng", "max_lng")))
+    lng = F.col("min_lng") + F.col("_j") * fmt.degrees
+    placed = at.select(*own, (F.col("min_lat") + F.col("_i") * fmt.degrees).alias("lat"), F.when(lng >= 180, lng - 360).otherwise(lng).alias("lng"))
+    schema = StructType([*placed.schema.fields, StructField("name", StringType())])
+    return placed.mapInPandas(lambda parts: (p.assign(name=[file_name(fmt, a, b) for a, b in zip(p["lat"], p["lng"], strict=True)]) for p in parts), schema)
+
+
+def enumerate_tiles(spark: SparkSession, fmt_name: str, min_lat: float, max_lat: float, min_lng: float, max_lng: float) -> DataFrame:
+    """(lat, lng, name) of all tiles in half-open bounds, which must be multiples of a tile's degrees."""
+    check_bounds(parse_format(fmt_name), min_lat, max_lat, min_lng, max_lng)
+    box = spark.createDataFrame([(float(min_lat), float(max_lat), float(min_lng), float(max_lng))], "min_lat double, max_lat double, min_lng double, max_lng double")
+    return tiles_of(box, fmt_name)
 
 
 def select_files(spark: SparkSession, fmt_name: str, path: str, polygons: DataFrame) -> list[str]:
