@@ -1,8 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from the SimHash operator: pairs whose fingerprints of the
-five-word shingles its pigeonring filtering finds within two bits.  That does
-not reach down to a similarity of 0.8, where fingerprints of 64 bits differ by
+Candidates come from the SimHash operator: sets whose fingerprints of the
+five-word shingles its pigeonring filtering finds within two bits (or equal).
+It hands on links that stand for such groups, and a link that fails the check
+must not part the others, so sets whose group is then in several components go
+through the exact filter below as well.  Two bits do not reach down to a similarity of 0.8, where fingerprints of 64 bits differ by
 about ten bits and no segment of a ring is selective.  So that no link is lost,
 sets that share one of ``BANDS`` further keys, each made of ``ROWS``
 min-hashes, are candidates as well; a pair at similarity 0.8 shares none with
@@ -106,15 +108,28 @@ def with_sets(documents: DataFrame) -> DataFrame:
 
 
 def similar(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): pairs of sets that the SimHash operator's pigeonring filtering links, or whose fingerprints are equal."""
-    prints = scratch.keep(sets.where("n > 0").select("fp", "sid", "n").distinct())
+    """(u, v, fits): links for sets of equal fingerprints or those that the SimHash operator joins; fits if their sizes allow for near copies.
+
+    Sets with one fingerprint are linked to a head, which stands for them, so a
+    pair that is close may be joined by way of others only (see ``unjoined``);
+    but every set that is close to another is in a link.
+    """
+    prints = sets.where("n > 0").select("fp", "sid", "n").distinct()
     heads = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")))
     equal = prints.join(heads, "fp").select(F.struct("sid", "n").alias("a"), F.col("head").alias("b"))
     near = simhash_dedup.links(heads.select("fp"), scratch)
     for name, end in (("a", "u"), ("b", "v")):
         near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(name)), end)
-    both = equal.union(near.select("a", "b")).where((F.col("a.sid") != F.col("b.sid")) & _alike("a.n", "b.n"))
-    return scratch.keep(both.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct())
+    both = equal.union(near.select("a", "b")).where(F.col("a.sid") != F.col("b.sid"))
+    return scratch.keep(both.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v"), _alike("a.n", "b.n").alias("fits")).distinct())
+
+
+def unjoined(sets: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sid, component): sets with a fingerprint within two bits of that of a set in another component."""
+    prints = sets.where("n > 0").select("fp", "sid").distinct()
+    placed = scratch.keep(prints.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("fp", "sid", F.coalesce("component", "sid").alias("component")))
+    spans = scratch.keep(placed.groupBy("fp").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+    return placed.join(simhash_dedup.unsettled(spans, scratch), "fp", "left_semi").select("sid", "component")
 
 
 def _word(row: Column, words: int) -> Column:
@@ -220,20 +235,20 @@ def near_groups(documents: DataFrame, bands: int = BANDS) -> tuple[DataFrame, Da
     kept = scratch.keep(index.join(shared, "key"))
     scratch.drop(index)
     prints = similar(sets, scratch)
-    # Every set that is compared below is in such a pair or under a shared key, so the texts are gone through once for them.
+    # Every set that is compared below is in such a link or under a shared key, so the texts are gone through once for them.
     asked = kept.select("sid").union(prints.select("u")).union(prints.select("v"))
     found = _shingles(asked.distinct(), documents, sets, scratch)
     weights = kept.groupBy("sid").agg(F.sum("members").alias("weight"))
     weighed = scratch.keep(kept.join(weights, "sid").select("key", "sid", "n", "weight"))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("hub"))
     stars = weighed.join(hubs, "key").where((F.col("sid") != F.col("hub.sid")) & _alike("n", "hub.n"))
-    links = _near(prints.union(stars.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v"))), found, scratch)
+    links = _near(prints.where("fits").select("u", "v").union(stars.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v"))), found, scratch)
     parts = connected_components(links, scratch)
     placed = scratch.keep(weighed.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("component")))
     scratch.drop(kept)
     scratch.drop(weighed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = scratch.keep(placed.join(mixed, "key", "left_semi").select("sid", "component").distinct())
+    open_ = scratch.keep(placed.join(mixed, "key", "left_semi").select("sid", "component").union(unjoined(sets, parts, scratch)).distinct())
     if not open_.isEmpty():
         met = _rarest(open_.select("sid"), found, scratch)
         parts = connected_components(links.union(_near(_meetings(met.join(open_, "sid")), found, scratch)), scratch)

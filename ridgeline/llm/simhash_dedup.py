@@ -91,23 +91,46 @@ def ring_index(classes: DataFrame) -> DataFrame:
     return classes.select("fp", F.explode(F.array(*starts)).alias("s")).select("fp", "s.*")
 
 
-def links(classes: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """(u, v): links that join all fingerprints within DISTANCE bits of each other into the right components."""
+def _keyed(classes: DataFrame, scratch: Scratch, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ring index under keys that several fingerprints share: those of few, and of many as (fp, start, file), a file for each one-bit variant."""
     index = ring_index(classes)
     shared = scratch.keep(index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     kept = scratch.keep(index.join(shared, "key"))
-    few = kept.where(F.col("members") <= hot)
+    # Bits of the key are equal in all members, so variants are made of the rest only.
+    variants = F.expr("concat(array(turned), transform(sequence(0, below2 - 1), b -> turned ^ shiftleft(1L, b)))")
+    return kept.where(F.col("members") <= hot), kept.where(F.col("members") > hot).select("fp", "start", F.explode(variants).alias("file"))
+
+
+def _pairs(few: DataFrame) -> DataFrame:
+    """(u, v): all pairs under one key whose chains stay in their budgets and that differ in few enough bits."""
     a, b = few.alias("a"), few.select("key", F.col("fp").alias("other"), F.col("turned").alias("other_turned")).alias("b")
     apart = F.col("turned").bitwiseXOR(F.col("other_turned"))
     chains = [F.expr(f"bit_count(shiftrightunsigned(turned ^ other_turned, below{k})) <= {2 * k // 5}") for k in (3, 4)]
     close = chains[0] & chains[1] & (F.bit_count(apart) <= DISTANCE)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("fp") < F.col("other")) & close).select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    # Bits of the key are equal in all members, so variants are made of the rest only.
-    variants = F.expr("concat(array(turned), transform(sequence(0, below2 - 1), b -> turned ^ shiftleft(1L, b)))")
-    many = kept.where(F.col("members") > hot).select("fp", "start", F.explode(variants).alias("file"))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("fp") < F.col("other")) & close).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+
+
+def links(classes: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(u, v): links that join all fingerprints within DISTANCE bits of each other into the right components; not all pairs, where a key is hot."""
+    few, many = _keyed(classes, scratch, hot)
     filed = scratch.keep(many.groupBy("start", "file").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"))
     stars = many.join(filed, ["start", "file"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.union(stars)
+    return _pairs(few).union(stars)
+
+
+def unsettled(classes: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(fp): of rows (fp, low, high), the least and largest name of what a fingerprint belongs to, those within DISTANCE bits of one that belongs elsewhere.
+
+    Itself counts.  A hot key's fingerprints are asked by files, so some may
+    be named that only share a file with two that are apart; none is missed.
+    """
+    few, many = _keyed(classes.select("fp"), scratch, hot)
+    of = lambda c: classes.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
+    apart = _pairs(few).join(of("u"), "u").join(of("v"), "v").where(F.least("u_low", "v_low") < F.greatest("u_high", "v_high"))
+    named = many.join(classes, "fp")
+    split = named.groupBy("start", "file").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("start", "file")
+    own = classes.where("low < high").select("fp")
+    return own.union(apart.select("u")).union(apart.select("v")).union(many.join(split, ["start", "file"], "left_semi").select("fp")).distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFrame:
