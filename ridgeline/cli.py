@@ -31,6 +31,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--keep-spikes", action="store_true", help="leave in samples far above a neighbour, which otherwise go in row order")
         if name != "tree":
             p.add_argument("--bounds", type=float, nargs=4, metavar=("SOUTH", "WEST", "NORTH", "EAST"), help="only peaks within, edges included, the west beyond the east across 180; the ground around them counts all the same")
+        if name == "isolation":
+            p.add_argument("--tiles", action="store_true", help="one file for each degree of latitude and longitude")
         if name != "isolation":
             p.add_argument("-z", "--zone", type=int, help="UTM zone of formats on a UTM grid")
         if name in ("prominence", "tree"):
@@ -122,7 +124,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         return
     if args.program == "isolation":
         found = isolation.geographic_isolation(stencil.candidate_peaks(cells).where(inside), cells, fmt.per_degree)
-        lines = sinks.isolation_lines(isolation.at_least(found, args.minimum), grid)
+        found = isolation.at_least(found, args.minimum)
+        if args.tiles:
+            sinks.write_isolation_tiles(sinks.isolation_tiles(found, grid), args.output)
+            return
+        lines = sinks.isolation_lines(found, grid)
     elif args.program == "prominence":
         measure = prominence.anti_prominence if args.anti else prominence.prominence
         found = prominence.prune(measure(cells, bathymetry=args.bathymetry, around=grid.around), args.minimum).where(inside)

@@ -299,6 +299,13 @@ def anti_prominence(spark, d):
     return prominence.anti_prominence(_t16(spark, d), BLOCK, bathymetry=True).select("gx", "gy", "elev", "prominence")
 
 
+@query(_prominence_sql("0").replace("sum(l_quantity)::bigint as elev", "(900 - sum(l_quantity))::bigint as elev").replace("elev::double as elev", "-elev::double as elev"))
+def anti_prominence_of_basin(spark, d):
+    """Depressions of ground that lies below sea level, where the deepest counts from there."""
+    below = _t16(spark, d).withColumn("elev", F.col("elev") - 900)
+    return prominence.anti_prominence(below, BLOCK).select("gx", "gy", "elev", "prominence")
+
+
 @query(_prominence_sql("0").replace("where elev - coalesce(level, 0) > 0", "where elev - coalesce(level, 0) >= 40"))
 def prune_min(spark, d):
     return prominence.prune(prominence.prominence(_t16(spark, d), BLOCK), 40).select("gx", "gy", "elev", "prominence")
@@ -724,6 +731,12 @@ def isolation_lines(spark, d):
     return sinks.isolation_lines(iso.isolation(stencil.candidate_peaks(cells), cells, BLOCK).withColumnRenamed("distance", "isolation_km"), GRID)
 
 
+@query(_sql("t64", _PEAKS_SQL, _ISO, f"select printf('isolation-%02d-%03d.txt', floor(44.0 - c.gy / {PER_DEGREE}.0)::int, floor(-110.0 + c.gx / {PER_DEGREE}.0)::int) as file, printf('%.4f,%.4f,%.2f,%.4f,%.4f,%.4f', 44.0 - c.gy / {PER_DEGREE}.0, -110.0 + c.gx / {PER_DEGREE}.0, c.elev::double, coalesce(44.0 - b.y / {PER_DEGREE}.0, 0.0), coalesce(-110.0 + b.x / {PER_DEGREE}.0, 0.0), coalesce(b.dist, -1.0)) as line from cand c left join best b on b.gx = c.gx and b.gy = c.gy and b.r = 1"))
+def isolation_tiles(spark, d):
+    cells = _t64(spark, d)
+    return sinks.isolation_tiles(iso.isolation(stencil.candidate_peaks(cells), cells, BLOCK).withColumnRenamed("distance", "isolation_km"), GRID)
+
+
 @query()
 def prominence_lines(spark, d):
     return sinks.prominence_lines(prominence.prominence(_t64(spark, d), TILE), GRID, geo.FEET_PER_METRE)

@@ -15,17 +15,29 @@ def prominence_lines(peaks: DataFrame, grid: Grid, scale: float = 1.0) -> DataFr
     return peaks.select(F.format_string("%.6f,%.6f,%.2f,%.6f,%.6f,%.2f", lat, lng, (F.col("elev") * scale).cast("double"), F.coalesce(s_lat, F.lit(0.0)), F.coalesce(s_lng, F.lit(0.0)), (F.col("prominence") * scale).cast("double")).alias("line"))
 
 
-def isolation_lines(found: DataFrame, grid: Grid) -> DataFrame:
-    """lat,lng,elevation,higher lat,higher lng,km; 0,0 and -1 if nothing is higher."""
+def isolation_lines(found: DataFrame, grid: Grid, keep: str | None = None) -> DataFrame:
+    """lat,lng,elevation,higher lat,higher lng,km; 0,0 and -1 if nothing is higher.  With keep, beside that column."""
     lat, lng = grid.position(F.col("gx"), F.col("gy"))
     h_lat, h_lng = grid.position(F.col("higher_x"), F.col("higher_y"))
-    return found.select(F.format_string("%.4f,%.4f,%.2f,%.4f,%.4f,%.4f", lat, lng, F.col("elev").cast("double"), F.coalesce(h_lat, F.lit(0.0)), F.coalesce(h_lng, F.lit(0.0)), F.coalesce(F.col("isolation_km"), F.lit(-1.0))).alias("line"))
+    return found.select(*([keep] if keep else []), F.format_string("%.4f,%.4f,%.2f,%.4f,%.4f,%.4f", lat, lng, F.col("elev").cast("double"), F.coalesce(h_lat, F.lit(0.0)), F.coalesce(h_lng, F.lit(0.0)), F.coalesce(F.col("isolation_km"), F.lit(-1.0))).alias("line"))
 
 
 def isolation_file_name(lat, lng):
     return F.format_string("isolation-%02d-%03d.txt", lat.cast("int"), lng.cast("int"))
 
 
+def isolation_tiles(found: DataFrame, grid: Grid) -> DataFrame:
+    """(file, line): isolation_lines, each with the name of its one-degree tile's file."""
+    lat, lng = grid.position(F.col("gx"), F.col("gy"))
+    named = found.select(isolation_file_name(F.floor(lat), F.floor(lng)).alias("file"), *found.columns)
+    return isolation_lines(named, grid, keep="file")
+
+
+def write_isolation_tiles(lines: DataFrame, path: str) -> None:
+    """One file a tile, in a folder of its name; lines are in order.  A tile's lines go to one task, no others do."""
+    lines.repartition("file").sortWithinPartitions("file", "line").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def parent_lines(rows: DataFrame) -> DataFrame:
     """Twelve fields: the peak, its saddle, elevation and prominence, the prominence parent and its prominence, the line parent and its elevation.
 

@@ -62,3 +62,16 @@ def test_map_without_higher_ground(spark):
     assert isolation.isolation(flat.limit(0), flat, 4).count() == 0
     assert [r.isolation_km for r in isolation.geographic_isolation(flat, flat.where(F.col("gx") == 1), 1.0).collect()] == [None, None]
     assert isolation.geographic_isolation(flat.limit(0), flat.limit(0), 1.0).count() == 0
+
+
+def test_a_file_a_tile(spark, tmp_path):
+    from ridgeline.functions import crs
+    from ridgeline.sources import sinks, text
+
+    rows = [(0, 0, 9.0, None, None, None), (3, 1, 7.0, 0, 0, 2.5), (9, 9, 5.0, 3, 1, 1.5), (9, 10, 4.0, 3, 1, 1.25)]
+    found = spark.createDataFrame(rows, "gx int, gy int, elev double, higher_x int, higher_y int, isolation_km double")
+    sinks.write_isolation_tiles(sinks.isolation_tiles(found, crs.DegreeGrid(58.0, -6.0, 60.0, -4.0, 8, 8)), str(tmp_path / "out"))
+    folders = sorted(p.name for p in (tmp_path / "out").glob("file=*"))
+    assert folders == ["file=isolation-58--05.txt", "file=isolation-59--06.txt", "file=isolation-60--06.txt"]
+    assert all(len(list((tmp_path / "out" / f).glob("part-*"))) == 1 for f in folders)
+    assert sorted(r.isolation_km for r in text.read_isolation(spark, str(tmp_path / "out" / folders[0])).collect()) == [1.25, 1.5]
